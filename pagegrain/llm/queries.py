@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegrain.llm import bpe, decontaminate, simhash, urlfilter
+from pagegrain.llm import bpe, decontaminate, reshard, simhash, urlfilter, vptree
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -40,6 +40,25 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 12 shards by key to 16 of equal bytes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("home", F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)), F.lit(12)).cast("int"))
+    placed = reshard.reshard(docs, "home", 12, 16).select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text").cast("long"), F.lit(0)) + 1).alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        "shard", "old_shard", "block", "slot_from",
+    )
+    return reshard.with_slots(placed, ["doc_id", "text_crc32", "size"]).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard"
+    )
+
+
+def op9_vantage_point_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -49,6 +68,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_decontaminate": op3_decontaminate,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_flow_reshard": op8_flow_reshard,
+        "op9_vantage_point_trees": op9_vantage_point_trees,
         "op10_url_filter": op10_url_filter,
     }
 
