@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegrain.llm import bpe, decontaminate, reshard, simhash, urlfilter, vptree
+from pagegrain.llm import bpe, decontaminate, reshard, simhash, toxicity, urlfilter, vptree, warc
+from pagegrain.llm.common import scratch_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -18,6 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    found = warc.read_archives(spark, path)
+    return found.select(
+        F.col("key").alias("page_id"),
+        "payload_bytes",
+        F.when(F.col("record_type") == "response", F.sha1("payload")).otherwise(F.col("digest")).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
@@ -28,6 +42,13 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc_key").alias("doc_id"), "item_id", "matched", "item_shingles")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.with_toxicity(docs, model, out="score")
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = bpe.encode_texts(docs, VOCABULARY, public_tokenizers.PATTERN).select("doc_id", "token_ids")
@@ -65,8 +86,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_decontaminate": op3_decontaminate,
+        "op6_toxicity": op6_toxicity,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_flow_reshard": op8_flow_reshard,
         "op9_vantage_point_trees": op9_vantage_point_trees,
