@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegrain.llm import bpe, decontaminate, reshard, simhash, toxicity, urlfilter, vptree, warc
+from pagegrain.llm import bpe, decontaminate, maskedlm, preference, reshard, simhash, toxicity, urlfilter, vptree, warc
 from pagegrain.llm.common import scratch_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -42,6 +42,18 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc_key").alias("doc_id"), "item_id", "matched", "item_shingles")
 
 
+def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against its counterpart with an echoed last answer."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return preference.formatted(turns, preference.echoed(turns))
+
+
+def op5_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known, values = maskedlm.train(docs)
+    return maskedlm.with_pseudo_likelihood(docs, known, values).select("doc_id", "n_tokens", "pll", "pll_mean")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -89,6 +101,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": op1_warc,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_decontaminate": op3_decontaminate,
+        "op4_preference_format": op4_preference_format,
+        "op5_masked_pseudo_likelihood": op5_masked_pseudo_likelihood,
         "op6_toxicity": op6_toxicity,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_flow_reshard": op8_flow_reshard,
@@ -98,4 +112,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.oracle(), "op10_url_filter": urlfilter.oracle()}
+    return {"op3_decontaminate": decontaminate.oracle(), "op4_preference_format": preference.oracle(), "op10_url_filter": urlfilter.oracle()}

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from pagegrain.llm.common import map_columns, quoted
+from pagegrain.llm.wordhash import Words, chunks
 
 BITS = 18
 FOLDS = 5
@@ -37,61 +38,23 @@ MAX_TOXIC = 3000
 MAX_UNLABELLED = 8000
 BEGINNINGS = (4, 5, 6)
 LEAST_TEXTS = 3
-LEAST_SIGMAS = 4.0
+LEAST_SIGMAS = 3.0
 EPOCHS = 200
 RATE = 0.1
 DECAY = 1e-4
-CHUNK = 1 << 17
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_MIX = np.uint64(0xD6E8FEB86659FD93)
-_WORD = np.zeros(256, bool)
-_WORD[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
-_WORD[128:] = True
 
-
-def _powers(base: np.uint64) -> np.ndarray:
-    return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(CHUNK, base, np.uint64))))
-
-
-_UP, _DOWN = _powers(_BASE), _powers(_UNBASE)
-
-
-def _chunk_features(a: np.ndarray) -> np.ndarray:
+def _chunk_features(data: np.ndarray) -> np.ndarray:
     """Buckets of the words in lower-case bytes, and of their beginnings."""
-    inside = np.zeros(len(a) + 2, np.int8)
-    inside[1:-1] = _WORD[a]
-    edge = np.diff(inside)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    # polynomial prefix sums: the hash of any run is a difference, shifted back
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((a.astype(np.uint64) + np.uint64(1)) * _UP[: len(a)])))
-    base, back = sums[start], _DOWN[start]
-    out = []
-    for k in (*BEGINNINGS, 0):
-        stop = np.minimum(start + k, end) if k else end
-        h = (sums[stop] - base) * back * _MIX + np.uint64(k * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF)
-        h ^= h >> np.uint64(32)
-        h *= _MIX
-        out.append((h >> np.uint64(64 - BITS)).astype(np.int32))
-    return np.concatenate(out)
+    found = Words(data)
+    hashes = [found.hashes(np.minimum(found.start + k, found.end), k) for k in BEGINNINGS] + [found.hashes()]
+    return (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 def features(text: str | None) -> np.ndarray:
-    """Buckets of a whole text, with repeats. Words are runs of ASCII letters,
-    digits and other non-ASCII characters; one of over CHUNK bytes is parted."""
-    data = np.frombuffer((text or "").lower().encode(), np.uint8)
-    if len(data) <= CHUNK:
-        return _chunk_features(data)
-    parts, at = [], 0
-    while at < len(data):
-        stop = min(at + CHUNK, len(data))
-        if stop < len(data):
-            gaps = np.flatnonzero(~_WORD[data[at:stop]])
-            stop = at + int(gaps[-1]) + 1 if len(gaps) else stop
-        parts.append(_chunk_features(data[at:stop]))
-        at = stop
-    return np.concatenate(parts)
+    """Buckets of a whole text, with repeats."""
+    parts = [_chunk_features(x) for x in chunks((text or "").lower().encode())]
+    return np.concatenate(parts) if parts else np.empty(0, np.int32)
 
 
 @dataclass(frozen=True)
