@@ -1,6 +1,59 @@
-"""The corpus pipeline: stages over ``documents``."""
+"""The corpus pipeline: four stages over ``documents``.
+
+Toxic documents go, one document of each near-duplicate group stays, documents
+that hold a benchmark item go, and what remains is encoded. Each stage works on
+all that its predecessor kept; all but the last keep the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagegrain.llm import bpe, decontaminate, simhash, toxicity
+from pagegrain.llm.common import written
+from pagegrain.llm.queries import VOCABULARY
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose probability of being toxic is below one half."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.with_toxicity(docs, model, out="__toxicity").where("__toxicity < 0.5").drop("__toxicity")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps, of each group that SimHash links join, one row of the smallest
+    doc_id. Groups come from 3-word shingles and three differing bits."""
+    return simhash.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that hold less than 0.8 of every item's shingles."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, token_ids) of every document that is left."""
+    coded = bpe.encode_texts(docs.select("doc_id", "text"), VOCABULARY, public_tokenizers.PATTERN)
+    return coded.select("doc_id", F.expr("CAST(octet_length(token_ids) / 4 AS BIGINT)").alias("n_tokens"), "token_ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("byte_bpe", encode),
+]
+
+#: No stage but the third can be put in SQL: the first trains a classifier, the
+#: second needs seeded XXH64 and the last byte-pair merges.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs, _ = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

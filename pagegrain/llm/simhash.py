@@ -227,6 +227,17 @@ def components(spark: SparkSession, prints: DataFrame, column: str, most: int =
     return found.select(F.col("node").alias("print"), "component"), found_at
 
 
+def _classified(df: DataFrame, key: str, text: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables: (key, simhash) of every row, and (simhash, least key,
+    component) of every distinct print."""
+    spark = df.sparkSession
+    prints, _ = written(with_fingerprint(df.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text"))).select("key", "simhash"), "simhash")
+    classes, _ = written(prints.groupBy("simhash").agg(F.min("key").alias("least")), "simhash-classes")
+    linked, _ = components(spark, classes, "simhash", most)
+    joined = classes.join(linked, classes["simhash"] == linked["print"], "left").select("simhash", "least", F.coalesce("component", "simhash").alias("component"))
+    return prints, written(joined, "simhash-components")[0]
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", most: int = MAX_BITS) -> DataFrame:
     """One row per input row: its key, ``simhash`` and ``component_id``, the
     smallest key that links of at most ``most`` differing bits reach.
@@ -235,12 +246,26 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", most
     key takes part but never names a component unless all its keys are null.
     Repeated rows stay repeated. Other columns do not follow.
     """
-    spark = df.sparkSession
-    prints, _ = written(with_fingerprint(df.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text"))).select("key", "simhash"), "simhash")
-    classes, _ = written(prints.groupBy("simhash").agg(F.min("key").alias("least")), "simhash-classes")
-    linked, _ = components(spark, classes, "simhash", most)
-    joined = classes.join(linked, classes["simhash"] == linked["print"], "left").select("simhash", "least", F.coalesce("component", "simhash").alias("component"))
-    joined, _ = written(joined, "simhash-components")
-    named = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = joined.join(named, "component").select(F.col("simhash").alias("print"), "component_id")
+    prints, classes = _classified(df, key, text, most)
+    named = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_print = classes.join(named, "component").select(F.col("simhash").alias("print"), "component_id")
     return prints.join(by_print, prints["simhash"] == by_print["print"]).select(F.col("key").alias(key), "simhash", "component_id")
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", most: int = MAX_BITS) -> DataFrame:
+    """The rows of ``df``, one of each component of near-duplicates: that of the
+    smallest key, null keys last; all columns kept.
+
+    Where keys repeat or are null, rows are told by key and fingerprint, and of
+    rows that agree in both one stays.
+    """
+    prints, classes = _classified(df, key, text, most)
+    kept = classes.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("k"), F.col("simhash").alias("s"))).alias("r"))
+    kept = kept.select("r.k", "r.s")
+    seen = prints.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("keys")).first()
+    if seen["n"] == seen["keys"]:
+        gone, _ = written(prints.select(F.col("key").alias("__k")).join(kept, F.col("__k") == F.col("k"), "left_anti"), "simhash-dropped")
+        return df.join(gone, F.col(quoted(key)) == F.col("__k"), "left_anti")
+    told = with_fingerprint(df, text, "__simhash")
+    same = told[quoted(key)].eqNullSafe(F.col("k")) & (F.col("__simhash") == F.col("s"))
+    return told.join(kept, same, "left_semi").dropDuplicates([key, "__simhash"]).drop("__simhash")
