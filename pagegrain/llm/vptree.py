@@ -30,7 +30,8 @@ SHARD_ROWS = 8192
 FACTOR = 1.5
 QUERY_BLOCK = 512
 FIRST_LEAVES = 2
-SLACK = 1e-9
+#: Of the largest norm: more than rounding can add to a distance.
+SLACK = 1e-7
 
 
 class Tree:
@@ -93,6 +94,7 @@ class Tree:
         rows, best = np.full((n, k), -1), np.full((n, k), np.inf)
         low = self.bounds(queries) * factor
         squares, own = (queries**2).sum(1), (self.points**2).sum(1)
+        slack = SLACK * np.sqrt(max(squares.max(initial=0), own.max(initial=0)))
         first = np.argpartition(low, min(FIRST_LEAVES, low.shape[1]) - 1, axis=1)[:, :FIRST_LEAVES]
         done = np.zeros(low.shape, bool)
 
@@ -111,7 +113,7 @@ class Tree:
             visit(which, name)
             done[which, name] = True
         for name in np.argsort(low.mean(axis=0)):
-            which = np.flatnonzero(~done[:, name] & (low[:, name] <= best.max(axis=1) + SLACK))
+            which = np.flatnonzero(~done[:, name] & (low[:, name] <= best.max(axis=1) + slack))
             if len(which):
                 visit(which, name)
         return rows, best, seen
