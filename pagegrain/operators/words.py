@@ -45,6 +45,15 @@ def combined_words(words: DataFrame, tolerance: float = DEFAULTS.x_tolerance) ->
     return parts.groupBy(*LINE, F.col("part").cast("int").alias("part")).agg(F.array_join(texts, "").alias("text"), F.min("x0").alias("x0"), F.max_by("x1", F.struct("x0", "word_seq")).alias("x1"))
 
 
+def spaced_lines(words: DataFrame, tolerance: float = 2.0) -> DataFrame:
+    """Words as lines for a scan: texts joined by a space from left to right,
+    the least x, and the font of the first word."""
+    rows = grouped_lines(words, tolerance)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("x0", "word_seq", "text"))), lambda s: s["text"])
+    first = F.struct("x0", "word_seq")
+    return rows.groupBy(*LINE).agg(F.array_join(texts, " ").alias("text"), F.min("x0").alias("x0"), F.min("top").alias("top"), F.min_by("fontname", first).alias("predominant_font"), F.min_by("size", first).alias("predominant_size"))
+
+
 def segments(words: DataFrame) -> DataFrame:
     """Runs of one font, size and direction in a line, words left to right."""
     w = Window.partitionBy(*LINE).orderBy("x0", "word_seq")

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagegrain.functions import scalar
-from pagegrain.operators import answers, blocks, boundaries, layout, patterns, results, sampling, spacing, tokens, words
+from pagegrain.operators import answers, blocks, boundaries, checks, layout, patterns, results, sampling, spacing, tokens, words
 from pagegrain.plans import provider, report, summary, workflow
-from pagegrain.sources import adapters, sinks
+from pagegrain.sources import adapters, records, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -840,3 +840,169 @@ def recorded_answers(spark, sf_dir):
     return provider.completed(asked, Echo()).select("doc_id", "prompt_tokens", "completion_tokens", "model")
 
 
+
+
+# Further sources and reports
+
+
+@query("""SELECT n_regionkey AS doc_id, CAST(n_nationkey AS INTEGER) AS page, i AS word_no, n_name || i AS text, n_nationkey * 1.5::DOUBLE AS x0, i * 2.0::DOUBLE AS top, 9.5::DOUBLE AS size, 'F' AS fontname FROM nation, (VALUES (0), (1)) v(i)""")
+def word_metadata(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    one = lambda i: F.struct(F.concat("n_name", F.lit(str(i))).alias("text"), (F.col("n_nationkey") * 1.5).alias("x0"), F.lit(i * 2.0).alias("top"), F.lit(9.5).alias("size"), F.lit("F").alias("fontname"))
+    doc = F.to_json(F.create_map(F.concat(F.lit("Page "), F.col("n_nationkey").cast("string")), F.array(one(0), one(1))))
+    return records.word_metadata(n.select(F.col("n_regionkey").alias("doc_id"), doc.alias("json")))
+
+
+@query(f"WITH {WORDS} SELECT page, word_seq, CAST(floor(top / 10) AS INTEGER) AS line_number FROM w")
+def banded_lines(spark, sf_dir):
+    return records.banded(words_of(spark, sf_dir)).select("page", "word_seq", "line_number")
+
+
+@query("SELECT n_nationkey AS test_id, n_nationkey * 2 AS a, 'v' || n_nationkey AS b FROM nation")
+def prompt_results(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    body = F.to_json(F.struct((F.col("n_nationkey") * 2).alias("a"), F.concat(F.lit("v"), F.col("n_nationkey").cast("string")).alias("b")))
+    text = F.to_json(F.struct(body.alias("response_content")))
+    doc = F.when(F.col("n_nationkey") % 2 == 0, text).otherwise(F.concat(F.lit('{"response_content":'), body, F.lit("}")))
+    found = records.prompt_results(n.select(F.col("n_nationkey").alias("test_id"), doc.alias("json")), "struct<a: bigint, b: string>")
+    return found.select("test_id", "response.a", "response.b")
+
+
+@query(f"WITH {PAGES} SELECT doc_id, page FROM pages_ WHERE page = doc_id % 3 + 1")
+def chosen_pages(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    return records.chosen_pages(pages, pages.where("page = doc_id % 3 + 1"))
+
+
+@query(f"WITH {PAGES}, d AS (SELECT DISTINCT doc_id, doc_id % 3 + 1 AS page FROM pages_) SELECT doc_id, CAST(page AS INTEGER) AS page FROM d WHERE (doc_id, page) NOT IN (SELECT (doc_id, page) FROM pages_)")
+def missing_pages(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    return records.missing_pages(pages, pages.select("doc_id", (F.col("doc_id") % 3 + 1).cast("int").alias("page")))
+
+
+@query(f"""WITH RECURSIVE {WORDS}, o AS (SELECT page, top, row_number() OVER (PARTITION BY page ORDER BY top) AS i FROM (SELECT DISTINCT page, top FROM w)),
+fold(page, i, anchor, n) AS (SELECT page, i, top, 1 FROM o WHERE i = 1 UNION ALL SELECT o.page, o.i, CASE WHEN abs(o.top - anchor) > 2 THEN o.top ELSE anchor END, n + CASE WHEN abs(o.top - anchor) > 2 THEN 1 ELSE 0 END FROM fold f JOIN o ON o.page = f.page AND o.i = f.i + 1)
+SELECT doc_id, w.page, CAST(n AS INTEGER) AS line_number, string_agg(text, ' ' ORDER BY x0, word_seq) AS text, min(x0) AS x0, min(w.top) AS top, arg_min(fontname, {{'a': x0, 'b': word_seq}}) AS predominant_font, arg_min(size, {{'a': x0, 'b': word_seq}}) AS predominant_size FROM w JOIN o ON w.page = o.page AND w.top = o.top JOIN fold f ON f.page = o.page AND f.i = o.i GROUP BY doc_id, w.page, n""")
+def spaced_lines(spark, sf_dir):
+    return words.spaced_lines(words_of(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {SEGMENTS}, d AS (SELECT DISTINCT doc_id, page, line_number, font, rounded_size FROM seg), k AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page, line_number) AS kinds FROM d)
+SELECT font, rounded_size AS size, count(*) AS lines, count(*) FILTER (kinds > 1) AS partial_lines FROM k GROUP BY ALL""")
+def fonts_by_lines(spark, sf_dir):
+    return checks.fonts_by_lines(words.segments(word_lines(spark, sf_dir)))
+
+
+@query(f"WITH {HEADED} SELECT doc_id, page, line_number, regexp_matches(text, '(?i)contents') AS is_header, regexp_matches(text, '\\d+\\.\\d+') AS has_section, regexp_matches(text, '\\.\\s*\\d+\\s*$') AS has_page_number, regexp_matches(text, '\\d+\\.\\d+\\.\\d+') AS has_three_levels FROM headed")
+def contents_flags(spark, sf_dir):
+    return checks.contents_flags(headed(spark, sf_dir))
+
+
+@query("SELECT n_regionkey AS doc_id, CASE WHEN n_nationkey % 5 > 0 THEN n_nationkey END AS page, concat_ws(',', CASE WHEN n_nationkey % 5 = 0 THEN 'page' END, CASE WHEN n_nationkey % 3 = 0 THEN 'blocks' END, CASE WHEN n_nationkey % 7 = 0 THEN 'page_width' END) AS problems FROM nation")
+def structure_problems(spark, sf_dir):
+    k = F.col("n_nationkey")
+    rows = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("doc_id"), F.when(k % 5 > 0, k).alias("page"), (k % 3).alias("n_blocks"), (k % 7 * 100.0).alias("page_width"), F.lit(792.0).alias("page_height"))
+    return checks.structure_problems(rows)
+
+
+@query("SELECT conv_id, turn, CAST(length(text) // 4 AS BIGINT) AS by_four, CAST(floor(length(text) / 3.5::DOUBLE) AS BIGINT) AS by_three_and_half, CAST(length(text) // 3 AS BIGINT) AS by_three FROM conversations")
+def token_estimates(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumn("id", F.struct("conv_id", "turn"))
+    return checks.estimates(rows, "id").select("id.*", "by_four", "by_three_and_half", "by_three")
+
+
+@query(f"WITH {HEADED}, m AS ({SCAN}), {CATALOGUE} SELECT m.doc_id, m.line_number, pattern_name, pattern_type, hierarchy_level FROM m JOIN cat ON name = pattern_name WHERE pattern_type LIKE 'toc%' OR pattern_name = 'figure_caption'")
+def matches_by_type(spark, sf_dir):
+    found = patterns.by_type(patterns.scan(headed(spark, sf_dir)), patterns.catalogue(spark))
+    return found.where("pattern_type LIKE 'toc%' OR pattern_name = 'figure_caption'").select("doc_id", "line_number", "pattern_name", "pattern_type", "hierarchy_level")
+
+
+@query(f"WITH {HEADED}, m AS ({SCAN}), {CATALOGUE}, s AS (SELECT name, pattern_type, count(m.match) AS k FROM cat LEFT JOIN m ON name = pattern_name GROUP BY ALL) SELECT pattern_type, count(*) FILTER (k > 0) AS patterns_found, CAST(sum(k) AS BIGINT) AS matches FROM s GROUP BY ALL")
+def state_results(spark, sf_dir):
+    return checks.state_results(patterns.statistics(patterns.scan(headed(spark, sf_dir)), patterns.catalogue(spark)))
+
+
+@query(f"WITH {LINES}, k AS (SELECT split_part(predominant_font, '-', 1) || '|' || CAST(predominant_size AS VARCHAR) || '|' || CASE WHEN predominant_font LIKE '%BoldItalic%' THEN 'Bold+Italic' WHEN predominant_font LIKE '%Bold%' THEN 'Bold' ELSE 'Regular' END AS font_key FROM lines) SELECT font_key, count(*) AS total FROM k GROUP BY ALL ORDER BY total DESC, font_key LIMIT 10")
+def top_fonts(spark, sf_dir):
+    return checks.top_fonts(patterns.font_usage(lines_of(spark, sf_dir)))
+
+
+@query(f"WITH {GAPS} SELECT doc_id, page, line_number, printf('%8.2f  ', top) || text || CASE WHEN gap_before >= 5 THEN printf('  [%.2f pt]', gap_before) ELSE '' END AS line FROM g")
+def text_view(spark, sf_dir):
+    return checks.text_view(gapped(spark, sf_dir))
+
+
+@query(f"""WITH {BLOCKS}, o AS (SELECT doc_id, CASE WHEN lag(bottom) {BW} IS NULL THEN top ELSE top - lag(bottom) {BW} END AS gap FROM blk UNION ALL SELECT doc_id, 792 - max(bottom) FROM blk GROUP BY doc_id, page)
+SELECT doc_id, round_even(gap / 0.5, 0) * 0.5 AS spacing, count(*) AS n FROM o WHERE gap > 0 GROUP BY ALL""")
+def block_spacing_occurrences(spark, sf_dir):
+    lines = gapped(spark, sf_dir)
+    found = blocks.blocks(blocks.numbered_lines(lines, rules_of(lines)))
+    return layout.spacing_occurrences(found.select("doc_id", "page", F.col("block_no").alias("line_number"), "top", "bottom", F.lit(792.0).alias("page_height")))
+
+
+@query(f"WITH {BLOCKS} SELECT doc_id, page, count(*) AS n_blocks, CAST(sum(n_lines) AS BIGINT) AS n_lines FROM blk GROUP BY ALL")
+def pages_json(spark, sf_dir):
+    lines = gapped(spark, sf_dir)
+    nested = blocks.pages_json(blocks.blocks(blocks.numbered_lines(lines, rules_of(lines))))
+    back = nested.select("doc_id", "page", F.from_json("blocks", "array<struct<block_no: int, n_lines: bigint>>").alias("b"))
+    return back.select("doc_id", "page", F.size("b").cast("bigint").alias("n_blocks"), F.aggregate("b", F.lit(0).cast("bigint"), lambda s, x: s + x["n_lines"]).alias("n_lines"))
+
+
+@query(f"WITH {ANSWERS} SELECT k AS answer_id, CASE WHEN s < 2 THEN 'i' || k || '|why' END AS insights FROM a WHERE s < 2")
+def answer_insights(spark, sf_dir):
+    k = F.col("answer_id")
+    rows = answered(spark, sf_dir).select("answer_id").where(F.floor(k / 3) % 4 < 2)
+    body = F.to_json(F.struct(F.array().cast("array<string>").alias("per_page_analysis"), F.array(F.concat(F.lit("i"), k.cast("string"))).alias("insights"), F.struct(F.lit("why").alias("reasoning")).alias("header_pattern")))
+    return answers.insights(answers.parsed(rows.select("answer_id", body.alias("content")))).select("answer_id", F.array_join("insights", "|").alias("insights"))
+
+
+@query(f"WITH {ANSWERS} SELECT k AS answer_id, 'S' || k AS text FROM a WHERE s < 2 AND k % 40 = 7")
+def elements_on_page(spark, sf_dir):
+    found = answers.elements(answers.pages(answers.parsed(answered(spark, sf_dir))))
+    return found.where("page_index = 7 AND element_type = 'section_headings'").select("answer_id", "text")
+
+
+@query(f"WITH {PAGES}, b AS (SELECT doc_id, page, 'a' || page AS content, 1 AS batch_no FROM pages_ WHERE page <= 2 UNION ALL SELECT doc_id, page, 'b' || page, 2 FROM pages_ WHERE page >= 2) SELECT doc_id, page, arg_min(content, batch_no) AS content, min(batch_no) AS batch_no FROM b GROUP BY ALL")
+def merged_batches(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    part = lambda d, c, n: d.select("doc_id", "page", F.concat(F.lit(c), F.col("page").cast("string")).alias("content"), F.lit(n).alias("batch_no"))
+    return checks.merged_batches(part(pages.where("page <= 2"), "a", 1).unionByName(part(pages.where("page >= 2"), "b", 2)))
+
+
+@query("SELECT n_nationkey AS doc_id, p AS page FROM nation, (VALUES (1), (2), (5), (6), (9)) v(p)")
+def used_pages(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"))
+    both = F.array(F.array(F.lit(1), F.lit(2)), F.array(F.lit(5), F.lit(6)))
+    return checks.used_pages(n.select("doc_id", both.alias("groups"), F.array(F.lit(2), F.lit(9)).alias("singles")))
+
+
+@query("""WITH s AS (SELECT n_nationkey AS number, n_name AS heading, n_regionkey AS heading_page FROM nation WHERE n_nationkey % 2 = 0), c AS (SELECT n_nationkey AS number, n_name AS entry, n_regionkey + 1 AS entry_page FROM nation WHERE n_nationkey % 3 = 0) SELECT * FROM s FULL JOIN c USING (number)""")
+def sections_in_contents(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    row = [F.col("n_nationkey").alias("number"), F.col("n_name").alias("title")]
+    return checks.sections_in_contents(n.where("n_nationkey % 2 = 0").select(*row, F.col("n_regionkey").alias("page")), n.where("n_nationkey % 3 = 0").select(*row, (F.col("n_regionkey") + 1).alias("target")))
+
+
+@query("SELECT n_regionkey AS page, n_nationkey AS test_id, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS response, CASE WHEN n_regionkey < 3 THEN r_name ELSE 'Unknown page' END AS label FROM nation JOIN region ON n_regionkey = r_regionkey")
+def results_with_labels(spark, sf_dir):
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    tests = n.select(F.col("n_nationkey").alias("test_id"), F.col("n_regionkey").alias("page"))
+    responses = n.where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("test_id"), F.col("n_name").alias("response"))
+    return checks.with_responses(tests, responses, r.where("r_regionkey < 3").select(F.col("r_regionkey").alias("page"), F.col("r_name").alias("label")))
+
+
+@query("SELECT n_nationkey AS k, trim(x) AS item FROM nation, LATERAL (SELECT unnest(['red', n_name, 'b c']) AS x) t")
+def parsed_lists(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    return n.select(F.col("n_nationkey").alias("k"), F.explode(checks.parsed_list(F.concat(F.lit("red ,"), "n_name", F.lit(", b c ")))).alias("item"))
+
+
+@query()
+def rounding_savings(spark, sf_dir):
+    """Decimal rounding of a binary value differs between engines; see the tests."""
+    return tokens.rounding_savings(table(spark, sf_dir, "events").select("value"), "value", 1)
+
+
+@query()
+def rounded_numbers(spark, sf_dir):
+    return checks.rounded(checks.renamed(table(spark, sf_dir, "events").select("event_id", "value"), {"value": "v"}), 1)
