@@ -19,9 +19,13 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 
 def token_statistics(stats: DataFrame) -> DataFrame:
     """Least, most, mean, median, deviation and sum of a document's pages."""
+    x = F.col("tokens").cast("double")
+    n, one, two = F.count(F.lit(1)).cast("double"), F.sum(x), F.sum(x * x)
+    # from sums of whole numbers, so that no order of addition shows
+    spread = F.when(n > 1, F.sqrt((two * n - one * one) / (n * (n - 1)))).otherwise(F.lit(0.0))
     return stats.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_pages"), F.min("tokens").alias("min_tokens"), F.max("tokens").alias("max_tokens"), F.avg("tokens").alias("mean_tokens"),
-        F.median("tokens").alias("median_tokens"), F.coalesce(F.stddev_samp("tokens"), F.lit(0.0)).alias("stdev_tokens"), F.sum("tokens").alias("sum_tokens"),
+        F.median("tokens").alias("median_tokens"), spread.alias("stdev_tokens"), F.sum("tokens").alias("sum_tokens"),
     )
 
 

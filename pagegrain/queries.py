@@ -583,7 +583,7 @@ def page_tokens(spark, sf_dir):
     return tokens.page_tokens(lines_of(spark, sf_dir))
 
 
-STATS = TOKENS + ", st AS (SELECT doc_id, count(*) AS n_pages, min(tokens) AS min_tokens, max(tokens) AS max_tokens, avg(tokens) AS mean_tokens, median(tokens) AS median_tokens, coalesce(stddev_samp(tokens), 0) AS stdev_tokens, CAST(sum(tokens) AS BIGINT) AS sum_tokens FROM tk GROUP BY ALL)"
+STATS = TOKENS + ", st AS (SELECT doc_id, count(*) AS n_pages, min(tokens) AS min_tokens, max(tokens) AS max_tokens, avg(tokens) AS mean_tokens, median(tokens) AS median_tokens, CASE WHEN count(*) > 1 THEN sqrt((sum(tokens * tokens)::DOUBLE * count(*) - sum(tokens)::DOUBLE * sum(tokens)::DOUBLE) / (count(*)::DOUBLE * (count(*)::DOUBLE - 1))) ELSE 0 END AS stdev_tokens, CAST(sum(tokens) AS BIGINT) AS sum_tokens FROM tk GROUP BY ALL)"
 
 
 @query(f"WITH {STATS} SELECT * FROM st")
