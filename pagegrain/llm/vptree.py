@@ -141,13 +141,18 @@ class Shard:
     def nearest(self, ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[list[int], list[int], list[float]]:
         """query ids, vector ids and inner products of this shard's nearest."""
         rows, _, _ = self.tree.search(np.column_stack((queries, np.zeros(len(queries)))), k + 1, factor)
+        at, place = np.nonzero(rows >= 0)
+        points = rows[at, place]
+        # summed component by component, so the last digit is the same whatever the batch, and equal vectors tie
+        score = np.zeros(len(at))
+        for i in range(queries.shape[1]):
+            score += self.vectors[points, i] * queries[at, i]
+        cuts = np.searchsorted(at, np.arange(len(ids) + 1))
         out: tuple[list[int], list[int], list[float]] = ([], [], [])
-        for q, found in zip(range(len(ids)), rows):
-            found = found[found >= 0]
-            # summed in one order whatever the batch, so equal vectors tie exactly
-            score = np.einsum("ij,j->i", self.vectors[found], queries[q])
-            pairs = sorted((-float(s), int(v)) for s, r in zip(score, found) for v in self.ids[r] if v != ids[q])[:k]
-            out[0].extend([int(ids[q])] * len(pairs))
+        for q, own in enumerate(ids.tolist()):
+            found = slice(cuts[q], cuts[q + 1])
+            pairs = sorted((-s, int(v)) for s, r in zip(score[found].tolist(), points[found]) for v in self.ids[r] if v != own)[:k]
+            out[0].extend([own] * len(pairs))
             out[1].extend(v for _, v in pairs)
             out[2].extend(-s for s, _ in pairs)
         return out
@@ -218,3 +223,14 @@ def nearest(
     found = laid.mapInArrow(_search_shards(k, factor), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def oracle(k: int = 20) -> str:
+    """DuckDB SQL of the query by brute force over all pairs."""
+    return f"""
+WITH v AS (SELECT vec_id, min(CAST(embedding AS DOUBLE[])) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0 GROUP BY vec_id),
+p AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(v.x, q.x) AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {k}
+"""
