@@ -48,16 +48,19 @@ def tables(spark: SparkSession, args: argparse.Namespace) -> dict[str, DataFrame
         return {"report": report.report_lines(lines)}
     if args.command == "scan":
         return {"matches": patterns.scan(lines), "statistics": patterns.statistics(patterns.scan(lines), patterns.catalogue(spark))}
+    # every table below starts from the lines, so they are written once and read again
+    lines = spark.read.parquet(sinks.write_stage(lines, args.out, args.base, "lines"))
     found = summary.analyze_spacing(lines, params)
     edges = summary.analyze_boundaries(lines, params)
     body = blocks.with_block_gaps(blocks.blocks(blocks.numbered_lines(lines, found["rules"])))
-    return {"lines": lines, "rules": found["rules"], "paragraphs": found["paragraphs"], "blocks": body, "boundaries": edges["boundaries"], "summary": summary.document_summary(lines.drop("gap_before", "gap_after"), params)}
+    return {"rules": found["rules"], "paragraphs": found["paragraphs"], "blocks": body, "boundaries": edges["boundaries"], "summary": summary.document_summary(lines.drop("gap_before", "gap_after"), params)}
 
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> dict[str, str]:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("pagegrain").getOrCreate()
-    return {name: sinks.write_stage(df, args.out, args.base, name) for name, df in tables(spark, args).items()}
+    paths = {name: sinks.write_stage(df, args.out, args.base, name) for name, df in tables(spark, args).items()}
+    return ({"lines": f"{args.out.rstrip('/')}/{args.base}_lines"} if args.command == "analyze" else {}) | paths
 
 
 if __name__ == "__main__":

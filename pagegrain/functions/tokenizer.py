@@ -9,8 +9,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-# Context tokens of known model families.
-CONTEXTS = {"gpt-4": 8192, "gpt-4-32k": 32768, "gpt-4-turbo": 128000, "gpt-4o": 128000, "gpt-4.1": 1048576, "gpt-3.5-turbo": 16385}
+# Encoding and context tokens of known model families.
+MODELS = {
+    "gpt-4.1": ("o200k_base", 1048576),
+    "gpt-4o": ("o200k_base", 128000),
+    "gpt-4": ("cl100k_base", 128000),
+    "gpt-4-turbo": ("cl100k_base", 128000),
+    "gpt-3.5-turbo": ("cl100k_base", 16385),
+}
 
 
 def exact_tokens(text: Column, make: Callable[[], Callable[[str], int]]) -> Column:
@@ -28,7 +34,7 @@ def exact_tokens(text: Column, make: Callable[[], Callable[[str], int]]) -> Colu
 
 def context_of(model: str) -> int:
     """Context tokens of a model by the longest family name it starts with."""
-    known = [m for m in CONTEXTS if model.startswith(m)]
+    known = [m for m in MODELS if model.startswith(m)]
     if not known:
-        raise ValueError(f"unknown model {model!r}; known: {', '.join(CONTEXTS)}")
-    return CONTEXTS[max(known, key=len)]
+        raise ValueError(f"unknown model {model!r}; known: {', '.join(MODELS)}")
+    return MODELS[max(known, key=len)][1]

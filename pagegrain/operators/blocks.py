@@ -27,15 +27,28 @@ def blocks(numbered: DataFrame) -> DataFrame:
     font = fonts.groupBy(*keys).agg(F.max_by("predominant_font", F.struct("n", -F.col("at"))).alias("predominant_font"), (F.max("n") / F.sum("n")).alias("font_coverage"))
     body = numbered.groupBy(*keys).agg(
         F.first("predominant_size").alias("predominant_size"), F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"),
-        ordered("text").alias("text_lines"), F.count(F.lit(1)).alias("n_lines"), F.min_by("gap_before", "line_number").alias("first_gap"), F.max_by("gap_after", "line_number").alias("last_gap"),
+        ordered("text").alias("text_lines"), F.count(F.lit(1)).alias("n_lines"), F.min_by("gap_before", "line_number").alias("first_gap"), F.max_by("gap_before", "line_number").alias("last_gap"),
     )
     return body.join(font, list(keys)).withColumn("text", F.array_join("text_lines", "\n"))
 
 
+def segment_metadata(numbered: DataFrame, segs: DataFrame) -> DataFrame:
+    """Size and font that most segments of a block have, and the shares of its
+    segments that have them; the first to appear among equals."""
+    keys = (*PAGE, "block_no")
+    rows = segs.join(numbered.select(*keys, "line_number"), [*PAGE, "line_number"]).select(*keys, "line_number", "seg_no", "rounded_size", "font")
+    out = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    for name, column in (("size", "rounded_size"), ("font", "font")):
+        counted = rows.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("line_number", "seg_no")).alias("at"))
+        best = counted.groupBy(*keys).agg(F.min_by(column, F.struct(-F.col("n"), F.col("at"))).alias(f"predominant_{name}"), F.max("n").alias(f"_{name}"))
+        out = out.join(best, list(keys), "left").withColumn(f"{name}_coverage", F.col(f"_{name}") / F.col("_n"))
+    return out.drop("_n", "_size", "_font")
+
+
 def with_block_gaps(found: DataFrame) -> DataFrame:
     """Adds gap_before and gap_after between boxes, which may be negative. A
-    page's first block keeps its line's gap; its last keeps that of its last
-    line, or 0 if it has only one."""
+    page's first block keeps its line's gap; its last keeps the gap before its
+    last line, or 0 if it has only one."""
     w = Window.partitionBy(*PAGE).orderBy("block_no")
     before = F.coalesce(F.col("top") - F.lag("bottom").over(w), F.col("first_gap"))
     after = F.coalesce(F.lead("top").over(w) - F.col("bottom"), F.when(F.col("n_lines") > 1, F.col("last_gap")).otherwise(F.lit(0.0)))

@@ -50,7 +50,8 @@ def contextual(lines: DataFrame, rules: DataFrame, params: LayoutParams = DEFAUL
 
 def final_boundaries(lines: DataFrame, candidates: DataFrame) -> DataFrame:
     """(doc_id, method, final_header_bottom, final_footer_top): the commonest
-    position of each kind; 0 and the lowest text where there is none."""
+    position of each kind; 0 and the lowest text where there is none. Among
+    equals the first page's counts, and on it the one nearest the page's edge."""
     counted = candidates.groupBy("doc_id", "method", "target", "y_coord").agg(F.count(F.lit(1)).alias("n"), F.min("page").alias("at"))
     mode = counted.groupBy("doc_id", "method").agg(*[
         F.max_by(F.when(F.col("target") == t, F.col("y_coord")), F.when(F.col("target") == t, F.struct("n", -F.col("at"), -F.col("y_coord")))).alias(t) for t in ("header", "footer")

@@ -33,10 +33,13 @@ def contents_sample(pages: DataFrame, first: int = 20, seed: int = 42) -> DataFr
 
 def sections_sample(pages: DataFrame, seed: int = 42, share: float = 0.15, least: int = 10) -> DataFrame:
     """At least ten pages or 15 %: 60, 30 and 10 % of them from the thirds."""
+    n = F.col("_n")
     total = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    rows = pages.join(total, "doc_id").withColumn("third", F.least(F.lit(2), F.floor((F.col("page") - 1) * 3 / F.col("_n"))).cast("int"))
-    target = F.least(F.col("_n"), F.greatest(F.lit(least), F.floor(F.col("_n") * share)))
-    quota = F.ceil(target * F.element_at(F.array(F.lit(0.6), F.lit(0.3), F.lit(0.1)), F.col("third") + 1))
+    third = F.when(F.col("page") <= F.floor(n / 3), 0).when(F.col("page") <= F.floor(n * 2 / 3), 1).otherwise(2)
+    rows = pages.join(total, "doc_id").withColumn("third", third.cast("int"))
+    target = F.greatest(F.lit(least), F.floor(n * share))
+    early, middle = F.floor(target * 0.6), F.floor(target * 0.3)
+    quota = F.when(F.col("third") == 0, early).when(F.col("third") == 1, middle).otherwise(target - early - middle)
     return _ranked(rows, seed, "third").where(F.col("_rank") <= quota).select(*pages.columns, "third")
 
 

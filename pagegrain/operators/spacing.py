@@ -17,6 +17,9 @@ from pagegrain.params import DEFAULTS, LayoutParams
 
 PAGE = ("doc_id", "page")
 
+#: Line gaps that a gap between paragraphs exceeds.
+PARAGRAPH_GAP = 1.3
+
 
 def on_page() -> Window:
     return Window.partitionBy(*PAGE).orderBy("line_number")
@@ -67,7 +70,8 @@ def lines_per_size(lines: DataFrame) -> DataFrame:
 
 def spacing_rules(histogram: DataFrame, params: LayoutParams = DEFAULTS, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """One row per context size: the modal gap, the band of line gaps around it,
-    the largest paragraph gap, and the gaps in each of the three classes."""
+    the largest paragraph gap, and the gaps up to the band's end, from there to
+    the largest paragraph gap, and over that one."""
     tolerance = params.line_spacing_tolerance
     modal = histogram.groupBy(*keys, "context_size").agg(F.max_by("gap", F.struct("cnt", -F.col("first_pos"))).alias("most_common_gap"), F.sum("cnt").alias("total_gaps"), F.min("first_pos").alias("first_pos"))
     rules = modal.select(
@@ -76,9 +80,9 @@ def spacing_rules(histogram: DataFrame, params: LayoutParams = DEFAULTS, keys: S
     )
     sized = histogram.select(*keys, "context_size", "gap", "cnt").join(rules, [*keys, "context_size"])
     part = lambda c: F.coalesce(F.sum(F.when(c, F.col("cnt"))), F.lit(0))
-    line = F.col("gap").between(F.col("line_lo"), F.col("line_hi"))
+    line, most = F.col("gap") <= F.col("line_hi"), F.col("para_max")
     return sized.groupBy(*keys, "context_size", "most_common_gap", "line_lo", "line_hi", "para_max", "total_gaps", "first_pos").agg(
-        part(line).alias("line_gaps"), part(~line & (F.col("gap") <= F.col("para_max"))).alias("para_gaps"), part(~line & (F.col("gap") > F.col("para_max"))).alias("section_gaps"),
+        part(line).alias("line_gaps"), part(~line & (F.col("gap") <= most)).alias("para_gaps"), part(F.col("gap") > most).alias("section_gaps"),
     )
 
 
@@ -107,8 +111,9 @@ def line_spacing(lines: DataFrame, params: LayoutParams = DEFAULTS) -> tuple[Dat
 
 
 def paragraph_candidates(histogram: DataFrame, common: DataFrame, params: LayoutParams = DEFAULTS) -> DataFrame:
-    """Gaps that may part paragraphs: over 1.3 and under 1.5 * 1.8 line gaps."""
-    low, high = F.col("most_common_gap") * params.small_gap_multiplier, F.col("most_common_gap") * params.large_gap_multiplier * 1.5
+    """Gaps that may part paragraphs: over 1.3 line gaps, whatever the profile,
+    and under 1.5 large ones."""
+    low, high = F.col("most_common_gap") * PARAGRAPH_GAP, F.col("most_common_gap") * params.large_gap_multiplier * 1.5
     return histogram.join(common, "doc_id").where((F.col("gap") > low) & (F.col("gap") < high)).select("doc_id", "gap", "cnt")
 
 
@@ -117,11 +122,12 @@ def paragraph_spacing(lines: DataFrame, params: LayoutParams = DEFAULTS) -> Data
     rules of each page; a page's first line does not count."""
     rules = spacing_rules(gap_histogram(gap_samples(lines, params, PAGE), PAGE), params, PAGE)
     first = F.row_number().over(on_page()) == 1
-    rest = lines.withColumn("_first", first).where(~F.col("_first") & (F.col("gap_before") > 0) & F.col("predominant_size").isNotNull())
+    rest = lines.withColumn("_first", first).where(~F.col("_first") & (F.col("gap_before") > 0))
     told = classified(rest, rules, "gap_before", params, PAGE)
     of = lambda kind: F.when(F.col("gap_type") == kind, F.col("gap_before"))
     return told.groupBy("doc_id").agg(
-        F.count(of("Paragraph")).alias("paragraph_gaps"), F.avg(of("Paragraph")).alias("paragraph_avg"), F.count(of("Section")).alias("section_gaps"), F.avg(of("Section")).alias("section_avg"),
+        F.count(of("Paragraph")).alias("paragraph_gaps"), F.coalesce(F.avg(of("Paragraph")), F.lit(0.0)).alias("paragraph_avg"),
+        F.count(of("Section")).alias("section_gaps"), F.coalesce(F.avg(of("Section")), F.lit(0.0)).alias("section_avg"),
     )
 
 

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from pagegrain.functions.scalar import call_cost, token_estimate
 
-# The share of a model's context left for the answer and prompts, and the most pages a batch holds.
-BATCH_CAPS = {"conservative": (20, 8), "optimistic": (15, 5)}
-
 
 def page_tokens(pages: DataFrame) -> DataFrame:
     """(doc_id, page, raw_length, tokens, n_lines) of a page's lines as one text."""
@@ -29,13 +26,15 @@ def token_statistics(stats: DataFrame) -> DataFrame:
     )
 
 
-def batch_recommendations(statistics: DataFrame, limit: int, overhead: int = 2000) -> DataFrame:
-    """Pages a batch by the largest, the mean-plus-deviation and the mean page."""
-    room = F.lit(limit - overhead)
-    fit = lambda of: F.floor(room / F.greatest(of, F.lit(1.0))).cast("bigint")
-    return statistics.select(
+def batch_recommendations(statistics: DataFrame, limit: int, overhead: int = 10_000, initial: int = 20, further: int = 8) -> DataFrame:
+    """Pages that fit a batch by the largest page, by mean plus deviation and by
+    the mean, and of the second how many to start and to go on with."""
+    fit = lambda of: F.when(of > 0, F.floor(F.lit(limit - overhead) / of)).otherwise(F.lit(0)).cast("bigint")
+    sized = statistics.select(
         "doc_id", fit(F.col("max_tokens").cast("double")).alias("conservative"), fit(F.col("mean_tokens") + F.col("stdev_tokens")).alias("recommended"), fit(F.col("mean_tokens")).alias("optimistic"),
-    ).withColumn("page_cap", F.least("recommended", F.lit(20)))
+    )
+    third = F.floor(F.col("recommended") / 3).cast("bigint")
+    return sized.select("*", F.least("recommended", F.lit(initial)).cast("bigint").alias("initial"), F.least(third, F.lit(further)).cast("bigint").alias("incremental"))
 
 
 def call_costs(prompts: DataFrame, text: str = "prompt") -> DataFrame:

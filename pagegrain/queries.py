@@ -79,7 +79,7 @@ b0 AS (SELECT g.*, r.line_hi FROM g LEFT JOIN rules r ON g.doc_id = r.doc_id AND
 b1 AS (SELECT *, CASE WHEN coalesce(lag(predominant_size) {W} = predominant_size AND gap_before <= line_hi, false) THEN 0 ELSE 1 END AS start FROM b0),
 nl AS (SELECT *, CAST(sum(start) {W} AS INTEGER) AS block_no FROM b1),
 blk AS (SELECT doc_id, page, block_no, min(predominant_size) AS predominant_size, min(x0) AS x0, min(top) AS top, max(x1) AS x1, max(bottom) AS bottom,
-  string_agg(text, chr(10) ORDER BY line_number) AS text, count(*) AS n_lines, arg_min(gap_before, line_number) AS first_gap, arg_max(gap_after, line_number) AS last_gap FROM nl GROUP BY ALL)"""
+  string_agg(text, chr(10) ORDER BY line_number) AS text, count(*) AS n_lines, arg_min(gap_before, line_number) AS first_gap, arg_max(gap_before, line_number) AS last_gap FROM nl GROUP BY ALL)"""
 WORDS = f"""w AS (SELECT CAST(1 AS BIGINT) AS doc_id, CAST(user_id AS INTEGER) AS page, event_id AS word_seq, event_type || '-' || CAST(event_id % 97 AS VARCHAR) AS text,
   CAST(event_id * 37 % 500 AS DOUBLE) AS x0, event_id * 37 % 500 + event_id % 29 + 3.0::DOUBLE AS x1, value AS top, value + 10.0::DOUBLE AS bottom,
   {FONT_LIST}[event_id // 5 % 4 + 1] AS fontname, 9.0::DOUBLE + event_id // 7 % 3 * 1.25::DOUBLE AS size, event_id % 50 <> 0 AS upright FROM events)"""
@@ -204,8 +204,8 @@ def lines_per_size(spark, sf_dir):
     return spacing.lines_per_size(lines_of(spark, sf_dir))
 
 
-@query(f"""WITH {RULES} SELECT r.doc_id, r.context_size, most_common_gap, line_lo, line_hi, para_max, CAST(total_gaps AS BIGINT) AS total_gaps, CAST(coalesce(sum(cnt) FILTER (gap BETWEEN line_lo AND line_hi), 0) AS BIGINT) AS line_gaps,
-  CAST(coalesce(sum(cnt) FILTER (NOT gap BETWEEN line_lo AND line_hi AND gap <= para_max), 0) AS BIGINT) AS para_gaps, CAST(coalesce(sum(cnt) FILTER (NOT gap BETWEEN line_lo AND line_hi AND gap > para_max), 0) AS BIGINT) AS section_gaps
+@query(f"""WITH {RULES} SELECT r.doc_id, r.context_size, most_common_gap, line_lo, line_hi, para_max, CAST(total_gaps AS BIGINT) AS total_gaps, CAST(coalesce(sum(cnt) FILTER (gap <= line_hi), 0) AS BIGINT) AS line_gaps,
+  CAST(coalesce(sum(cnt) FILTER (gap > line_hi AND gap <= para_max), 0) AS BIGINT) AS para_gaps, CAST(coalesce(sum(cnt) FILTER (gap > para_max), 0) AS BIGINT) AS section_gaps
 FROM rules r JOIN hist h ON r.doc_id = h.doc_id AND r.context_size = h.context_size GROUP BY ALL""")
 def spacing_rules(spark, sf_dir):
     return rules_of(gapped(spark, sf_dir)).drop("first_pos")
@@ -234,6 +234,22 @@ def block_fonts(spark, sf_dir):
     return blocks.blocks(blocks.numbered_lines(lines, rules_of(lines))).select("doc_id", "page", "block_no", "predominant_font", "font_coverage")
 
 
+SEG_LIST = f"{FONT_LIST}[(doc_id + line_number) % 4 + 1]"
+
+
+@query(f"""WITH {BLOCKS}, sg AS (SELECT doc_id, page, block_no, line_number, 1 AS seg_no, predominant_size AS rounded_size, predominant_font AS font FROM nl UNION ALL SELECT doc_id, page, block_no, line_number, 2, predominant_size + line_number % 2, {SEG_LIST} FROM nl WHERE line_number % 2 = 0 OR length(text) % 3 = 0),
+s AS (SELECT doc_id, page, block_no, arg_min(rounded_size, {{'a': -n, 'b': f}}) AS v, max(n) AS n FROM (SELECT doc_id, page, block_no, rounded_size, count(*) AS n, min({{'a': line_number, 'b': seg_no}}) AS f FROM sg GROUP BY ALL) GROUP BY ALL),
+f AS (SELECT doc_id, page, block_no, arg_min(font, {{'a': -n, 'b': f}}) AS v, max(n) AS n FROM (SELECT doc_id, page, block_no, font, count(*) AS n, min({{'a': line_number, 'b': seg_no}}) AS f FROM sg GROUP BY ALL) GROUP BY ALL), t AS (SELECT doc_id, page, block_no, count(*) AS k FROM sg GROUP BY ALL)
+SELECT doc_id, page, block_no, s.v AS predominant_size, s.n / k AS size_coverage, f.v AS predominant_font, f.n / k AS font_coverage FROM t JOIN s USING (doc_id, page, block_no) JOIN f USING (doc_id, page, block_no)""")
+def block_segment_metadata(spark, sf_dir):
+    lines = gapped(spark, sf_dir)
+    numbered = blocks.numbered_lines(lines, rules_of(lines))
+    own = lines.select("doc_id", "page", "line_number", F.lit(1).alias("seg_no"), F.col("predominant_size").alias("rounded_size"), F.col("predominant_font").alias("font"))
+    other = F.element_at(F.array(*[F.lit(f) for f in adapters.FONTS]), (F.pmod(F.col("doc_id") + F.col("line_number"), F.lit(4)) + 1).cast("int"))
+    more = lines.where((F.col("line_number") % 2 == 0) | (F.length("text") % 3 == 0)).select("doc_id", "page", "line_number", F.lit(2).alias("seg_no"), (F.col("predominant_size") + F.col("line_number") % 2).alias("rounded_size"), other.alias("font"))
+    return blocks.segment_metadata(numbered, own.unionByName(more))
+
+
 @query(f"""WITH {BLOCKS}, l AS (SELECT doc_id, page, block_no, list(trim(text) ORDER BY line_number) AS t, min(top) AS y0, min(x0) AS x0, min(predominant_size) AS font_size FROM nl GROUP BY ALL)
 SELECT doc_id, page, block_no, array_to_string(list_filter(t, lambda x: x <> ''), '|') AS lines, y0, x0, font_size FROM l""")
 def streamlined_blocks(spark, sf_dir):
@@ -255,7 +271,7 @@ h AS (SELECT doc_id, page, predominant_size AS c, round_even(gap_before / 0.5, 0
 r AS (SELECT doc_id, page, c, arg_max(gap, {{'a': cnt, 'b': -fp}}) * 1.2 AS hi, c * 1.1 AS mx, sum(cnt) AS n, min(fp) AS fp FROM h GROUP BY ALL), b AS (SELECT doc_id, page, arg_max({{'hi': hi, 'mx': mx}}, {{'a': n, 'b': -fp}}) AS b FROM r GROUP BY ALL),
 t AS (SELECT s.doc_id, gap_before, coalesce(r.hi, b.b.hi) AS hi, coalesce(r.mx, b.b.mx) AS mx, round_even(gap_before / 0.5, 0) * 0.5 AS q FROM s LEFT JOIN r ON s.doc_id = r.doc_id AND s.page = r.page AND s.predominant_size = r.c LEFT JOIN b ON s.doc_id = b.doc_id AND s.page = b.page WHERE pos > 1 AND gap_before > 0),
 k AS (SELECT *, CASE WHEN hi IS NULL OR q <= hi THEN 'Line' WHEN q <= mx THEN 'Paragraph' ELSE 'Section' END AS kind FROM t)
-SELECT doc_id, count(*) FILTER (kind = 'Paragraph') AS paragraph_gaps, avg(gap_before) FILTER (kind = 'Paragraph') AS paragraph_avg, count(*) FILTER (kind = 'Section') AS section_gaps, avg(gap_before) FILTER (kind = 'Section') AS section_avg FROM k GROUP BY ALL""")
+SELECT doc_id, count(*) FILTER (kind = 'Paragraph') AS paragraph_gaps, coalesce(avg(gap_before) FILTER (kind = 'Paragraph'), 0) AS paragraph_avg, count(*) FILTER (kind = 'Section') AS section_gaps, coalesce(avg(gap_before) FILTER (kind = 'Section'), 0) AS section_avg FROM k GROUP BY ALL""")
 def paragraph_spacing(spark, sf_dir):
     return spacing.paragraph_spacing(gapped(spark, sf_dir))
 
@@ -288,7 +304,7 @@ def header_footer_contextual(spark, sf_dir):
 
 
 @query(f"""WITH {RULES}{TRADITIONAL}{CONTEXTUAL}, allc AS (SELECT * FROM trad UNION ALL SELECT * FROM ctx), cc AS (SELECT doc_id, method, target, y_coord, count(*) AS n, min(page) AS p FROM allc GROUP BY ALL),
-md AS (SELECT doc_id, method, target, arg_max(y_coord, {{'a': n, 'b': -p, 'c': -y_coord}}) AS y FROM cc GROUP BY ALL), dd AS (SELECT doc_id, max(bottom) AS lowest FROM g GROUP BY ALL)
+md AS (SELECT doc_id, method, target, arg_max(y_coord, {{'a': n, 'b': -p, 'c': CASE target WHEN 'header' THEN -y_coord ELSE y_coord END}}) AS y FROM cc GROUP BY ALL), dd AS (SELECT doc_id, max(bottom) AS lowest FROM g GROUP BY ALL)
 SELECT dd.doc_id, m.method, coalesce(h.y, 0) AS final_header_bottom, coalesce(f.y, lowest) AS final_footer_top FROM dd, (VALUES ('traditional'), ('contextual')) m(method)
 LEFT JOIN md h ON h.doc_id = dd.doc_id AND h.method = m.method AND h.target = 'header' LEFT JOIN md f ON f.doc_id = dd.doc_id AND f.method = m.method AND f.target = 'footer'""")
 def final_boundaries(spark, sf_dir):
@@ -313,7 +329,7 @@ p AS (SELECT doc_id, count(DISTINCT page) AS n_pages, min(page_width) AS page_wi
 fk AS (SELECT doc_id, split_part(predominant_font, '-', 1) || '|' || CAST(predominant_size AS VARCHAR) || '|' || CASE WHEN predominant_font LIKE '%BoldItalic%' THEN 'Bold+Italic' WHEN predominant_font LIKE '%Bold%' THEN 'Bold' ELSE 'Regular' END AS k, count(*) AS n, min({{'a': page, 'b': line_number}}) AS f FROM g GROUP BY ALL),
 bf AS (SELECT doc_id, arg_min(k, {{'a': -n, 'b': f}}) AS body_font, count(*) AS n_fonts FROM fk GROUP BY ALL),
 sp AS (SELECT doc_id, round_even(gap_before / 0.5, 0) * 0.5 AS gap, count(*) AS cnt, min(page * 1000 + line_number) AS fp FROM g WHERE gap_before > 0 GROUP BY ALL), mc AS (SELECT doc_id, arg_max(gap, {{'a': gap > 0.01, 'b': cnt, 'c': -fp}}) AS most_common_gap FROM sp GROUP BY ALL),
-nb AS (SELECT doc_id, count(*) AS n_blocks FROM blk GROUP BY ALL), cc AS (SELECT doc_id, target, y_coord, count(*) AS n, min(page) AS p FROM ctx GROUP BY ALL), md AS (SELECT doc_id, target, arg_max(y_coord, {{'a': n, 'b': -p, 'c': -y_coord}}) AS y FROM cc GROUP BY ALL), dd AS (SELECT doc_id, max(bottom) AS lowest FROM g GROUP BY ALL)
+nb AS (SELECT doc_id, count(*) AS n_blocks FROM blk GROUP BY ALL), cc AS (SELECT doc_id, target, y_coord, count(*) AS n, min(page) AS p FROM ctx GROUP BY ALL), md AS (SELECT doc_id, target, arg_max(y_coord, {{'a': n, 'b': -p, 'c': CASE target WHEN 'header' THEN -y_coord ELSE y_coord END}}) AS y FROM cc GROUP BY ALL), dd AS (SELECT doc_id, max(bottom) AS lowest FROM g GROUP BY ALL)
 SELECT p.doc_id, n_pages, page_width, page_height, body_font, n_fonts, most_common_gap, coalesce(n_blocks, 0) AS n_blocks, coalesce(h.y, 0) AS final_header_bottom, coalesce(f.y, lowest) AS final_footer_top
 FROM p JOIN bf USING (doc_id) JOIN dd USING (doc_id) LEFT JOIN mc USING (doc_id) LEFT JOIN nb USING (doc_id) LEFT JOIN md h ON h.doc_id = p.doc_id AND h.target = 'header' LEFT JOIN md f ON f.doc_id = p.doc_id AND f.target = 'footer'""")
 def document_summary(spark, sf_dir):
@@ -549,8 +565,9 @@ def sample_contents(spark, sf_dir):
     return sampling.contents_sample(_pages(spark, sf_dir), 3)
 
 
-@query(f"""WITH {PAGES}, n AS (SELECT doc_id, count(*) AS n FROM pages_ GROUP BY ALL), t AS (SELECT doc_id, page, n, CAST(least(2, (page - 1) * 3 // n) AS INTEGER) AS third FROM pages_ JOIN n USING (doc_id))
-SELECT doc_id, page, third FROM (SELECT *, {_picked(', third')} AS r FROM t) WHERE r <= ceil(least(n, greatest(10, floor(n * 0.15::DOUBLE))) * [0.6::DOUBLE, 0.3::DOUBLE, 0.1::DOUBLE][third + 1])""")
+@query(f"""WITH {PAGES}, n AS (SELECT doc_id, count(*) AS n FROM pages_ GROUP BY ALL), t AS (SELECT doc_id, page, greatest(10, floor(n * 0.15::DOUBLE)) AS target, CASE WHEN page <= n // 3 THEN 0 WHEN page <= n * 2 // 3 THEN 1 ELSE 2 END AS third FROM pages_ JOIN n USING (doc_id)),
+q AS (SELECT *, floor(target * 0.6::DOUBLE) AS early, floor(target * 0.3::DOUBLE) AS middle FROM t)
+SELECT doc_id, page, third FROM (SELECT *, {_picked(', third')} AS r FROM q) WHERE r <= CASE third WHEN 0 THEN early WHEN 1 THEN middle ELSE target - early - middle END""")
 def sample_sections(spark, sf_dir):
     return sampling.sections_sample(_pages(spark, sf_dir))
 
@@ -591,9 +608,10 @@ def token_statistics(spark, sf_dir):
     return tokens.token_statistics(tokens.page_tokens(lines_of(spark, sf_dir)))
 
 
-@query(f"WITH {STATS}, b AS (SELECT doc_id, CAST(floor(6000 / greatest(max_tokens, 1)) AS BIGINT) AS conservative, CAST(floor(6000 / greatest(mean_tokens + stdev_tokens, 1)) AS BIGINT) AS recommended, CAST(floor(6000 / greatest(mean_tokens, 1)) AS BIGINT) AS optimistic FROM st) SELECT *, least(recommended, 20) AS page_cap FROM b")
+@query(f"""WITH {STATS}, b AS (SELECT doc_id, CAST(floor(CASE WHEN max_tokens > 0 THEN 6000 / max_tokens ELSE 0 END) AS BIGINT) AS conservative, CAST(floor(CASE WHEN mean_tokens > 0 THEN 6000 / (mean_tokens + stdev_tokens) ELSE 0 END) AS BIGINT) AS recommended,
+  CAST(floor(CASE WHEN mean_tokens > 0 THEN 6000 / mean_tokens ELSE 0 END) AS BIGINT) AS optimistic FROM st) SELECT *, least(recommended, 20) AS initial, least(recommended // 3, 8) AS incremental FROM b""")
 def batch_recommendations(spark, sf_dir):
-    return tokens.batch_recommendations(tokens.token_statistics(tokens.page_tokens(lines_of(spark, sf_dir))), 8000)
+    return tokens.batch_recommendations(tokens.token_statistics(tokens.page_tokens(lines_of(spark, sf_dir))), 16_000)
 
 
 @query("SELECT conv_id, turn, CAST(length(text) // 4 AS BIGINT) AS prompt_tokens, 1000::BIGINT AS answer_tokens, (length(text) // 4) / 1000 * 0.03 + 0.06 AS cost_usd FROM conversations")
