@@ -67,6 +67,25 @@ def batches(pages: DataFrame, initial: int = 8, increment: int = 6, threshold: i
     return pages.join(total, "doc_id").withColumn("batch_no", number.cast("int")).drop("_n")
 
 
+def groups_sample(pages: DataFrame, groups: int = 3, length: int = 4, singles: int = 4, seed: int = 42) -> DataFrame:
+    """(doc_id, page, kind, group_no): runs of consecutive pages that don't
+    overlap and single pages of the rest, for every document whose pages run
+    from 1; all pages are singles where there are too few."""
+    total = pages.groupBy("doc_id").agg(F.max("page").alias("n"))
+    large = total.where(F.col("n") > groups * length + singles)
+    # the pages outside the runs are shared out before and between them
+    offsets = large.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("n") - groups * length)).alias("at"))
+    drawn = offsets.withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(mixed(seed, "doc_id", "at"), "at"))).where(F.col("_rank") <= groups)
+    placed = drawn.withColumn("group_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")))
+    start = F.col("at") + (F.col("group_no") - 1) * length + 1
+    runs = placed.select("doc_id", F.explode(F.sequence(start, start + length - 1)).alias("page"), F.lit("group").alias("kind"), "group_no")
+    rest = pages.join(large.select("doc_id"), "doc_id", "left_semi").join(runs.select("doc_id", "page"), ["doc_id", "page"], "left_anti")
+    alone = _ranked(rest, seed + 1).where(F.col("_rank") <= singles)
+    few = pages.join(large.select("doc_id"), "doc_id", "left_anti")
+    one = lambda d: d.select("doc_id", "page", F.lit("individual").alias("kind"), F.lit(None).cast("int").alias("group_no"))
+    return runs.unionByName(one(alone)).unionByName(one(few))
+
+
 def groups_and_singles(total: int, groups: int = 3, length: int = 4, singles: int = 4, seed: int = 42) -> tuple[list[list[int]], list[int]]:
     """Runs of consecutive pages that don't overlap, and single pages of the
     rest; all pages are singles if there are too few. Bounded by one document's pages."""

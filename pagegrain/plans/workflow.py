@@ -95,6 +95,13 @@ def dot(edges: DataFrame) -> DataFrame:
     return edges.select(F.format_string('"%s" -> "%s" [label="%s"];', "src", "dst", "key").alias("line"))
 
 
+def as_json(states: DataFrame, edges: DataFrame) -> DataFrame:
+    """(state, json): each state with its outcomes, as one JSON object."""
+    out = edges.groupBy(F.col("src").alias("state")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "dst")))).alias("outcomes"))
+    joined = states.join(out, "state", "left")
+    return joined.select("state", F.to_json(F.struct("state", "required_fields", "is_terminal", "outcomes")).alias("json"))
+
+
 @dataclass
 class Run:
     """What a run did."""

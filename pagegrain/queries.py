@@ -572,6 +572,15 @@ def sample_sections(spark, sf_dir):
     return sampling.sections_sample(_pages(spark, sf_dir))
 
 
+@query(f"""WITH {PAGES}, n AS (SELECT doc_id, max(page) AS n FROM pages_ GROUP BY ALL HAVING max(page) > 5), o AS (SELECT doc_id, unnest(range(0, n - 4 + 1)) AS at_ FROM n),
+d AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5('42:' || doc_id || ':' || at_), at_) AS r FROM o), k AS (SELECT doc_id, at_, row_number() OVER (PARTITION BY doc_id ORDER BY at_) AS g FROM d WHERE r <= 2),
+runs AS (SELECT doc_id, CAST(at_ + (g - 1) * 2 + 1 + i AS INTEGER) AS page, 'group' AS kind, CAST(g AS INTEGER) AS group_no FROM k, (VALUES (0), (1)) v(i)),
+rest AS (SELECT p.* FROM pages_ p JOIN n USING (doc_id) WHERE (doc_id, page) NOT IN (SELECT (doc_id, page) FROM runs))
+SELECT * FROM runs UNION ALL SELECT doc_id, page, 'individual', NULL FROM (SELECT *, {_picked(seed=43)} AS r FROM rest) WHERE r <= 1 UNION ALL SELECT doc_id, page, 'individual', NULL FROM pages_ WHERE doc_id NOT IN (SELECT doc_id FROM n)""")
+def sample_groups(spark, sf_dir):
+    return sampling.groups_sample(_pages(spark, sf_dir), 2, 2, 1)
+
+
 @query(f"WITH {PAGES} SELECT doc_id, page FROM (SELECT *, {_picked()} AS r FROM pages_ WHERE page > 2) WHERE r <= 10")
 def sample_unused(spark, sf_dir):
     pages = _pages(spark, sf_dir)
@@ -837,6 +846,13 @@ def workflow_dot(spark, sf_dir):
     return workflow.dot(graph(spark)[1])
 
 
+@query(f"WITH {GRAPH} SELECT state, count(dst) AS outcomes FROM s LEFT JOIN e ON src = state GROUP BY state")
+def workflow_json(spark, sf_dir):
+    found = workflow.as_json(*graph(spark))
+    names = F.json_object_keys(F.get_json_object("json", "$.outcomes"))
+    return found.select("state", F.coalesce(F.size(names), F.lit(0)).cast("bigint").alias("outcomes"))
+
+
 @query(f"""WITH {HIST} (SELECT 'fonts' AS section, predominant_font || ': ' || count(*) AS line FROM lines GROUP BY predominant_font ORDER BY count(*) DESC, predominant_font LIMIT 10)
 UNION ALL (SELECT 'sizes', printf('%.1f pt', predominant_size) || ': ' || count(*) FROM lines GROUP BY predominant_size ORDER BY count(*) DESC, printf('%.1f pt', predominant_size) LIMIT 10)
 UNION ALL (SELECT 'gaps', printf('%.1f pt', gap) || ': ' || sum(cnt)::BIGINT FROM hist GROUP BY gap ORDER BY sum(cnt) DESC, printf('%.1f pt', gap) LIMIT 10)""")
