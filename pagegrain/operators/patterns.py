@@ -95,6 +95,9 @@ def pattern_set(name: str) -> tuple[str, ...]:
     return SETS[name]
 
 
+HIT = "array<struct<pattern_name: string, match_no: int, match: string, number: string>>"
+
+
 def scan(lines: DataFrame, patterns: Sequence[Pattern] = PATTERNS, keys: Sequence[str] = ("doc_id", "page", "line_number"), text: str = "text") -> DataFrame:
     """(keys, pattern_name, match_no, match, number): every match of every
     pattern, and its first group. The patterns are literals of one projection,
@@ -105,7 +108,9 @@ def scan(lines: DataFrame, patterns: Sequence[Pattern] = PATTERNS, keys: Sequenc
     def found(name: str, regex: str) -> Column:
         rx = F.lit("(?U)" + regex)
         both = F.arrays_zip(F.regexp_extract_all(text, rx, F.lit(0)).alias("m"), F.regexp_extract_all(text, rx, F.lit(1)).alias("g"))
-        return F.transform(both, lambda z, i: F.struct(F.lit(name).alias("pattern_name"), i.cast("int").alias("match_no"), z["m"].alias("match"), z["g"].alias("number")))
+        hit = F.transform(both, lambda z, i: F.struct(F.lit(name).alias("pattern_name"), i.cast("int").alias("match_no"), z["m"].alias("match"), z["g"].alias("number")))
+        # most lines match few patterns: one look decides whether any match is taken out
+        return F.when(F.rlike(text, rx), hit).otherwise(F.array().cast(HIT))
 
     hits = F.flatten(F.array(*[found(n, r) for n, r, *_ in patterns]))
     return lines.where(F.col(text).isNotNull()).select(*keys, F.explode(hits).alias("h")).select(*keys, "h.*")
