@@ -113,4 +113,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.oracle(), "op4_preference_format": preference.oracle(), "op9_vantage_point_trees": vptree.oracle(), "op10_url_filter": urlfilter.oracle()}
+    return {"op1_warc": warc.oracle(), "op3_decontaminate": decontaminate.oracle(), "op4_preference_format": preference.oracle(), "op9_vantage_point_trees": vptree.oracle(), "op10_url_filter": urlfilter.oracle()}

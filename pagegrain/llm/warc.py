@@ -282,3 +282,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     problem): one row per record, revisits without payload."""
     blobs = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return blobs.mapInArrow(_read(False), WHOLE).unionByName(reassembled(blobs.mapInArrow(_read(True), SEGMENT)))
+
+
+def oracle() -> str:
+    """DuckDB SQL of what the archives must tell of each row of ``pages``."""
+    return f"""
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM p),
+r AS (SELECT *, payload_bytes >= {REVISIT_BYTES} AND keeper IS NOT NULL AND page_id IS DISTINCT FROM keeper AS revisit FROM k)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN revisit THEN keeper END AS refers_to FROM r
+"""
