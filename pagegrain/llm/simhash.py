@@ -214,7 +214,12 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def near_edges(prints: DataFrame, column: str, most: int = MAX_BITS) -> DataFrame:
     """(a, b): links that join exactly the prints that a chain of pairs within
-    ``most`` bits joins. ``prints`` holds each print once."""
+    ``most`` bits joins. ``prints`` holds each print once.
+
+    Two halves with one bit left out prove no more than MAX_BITS, so a larger
+    ``most`` is refused rather than searched with losses."""
+    if not 0 <= most <= MAX_BITS:
+        raise ValueError(f"most must be from 0 to {MAX_BITS}: two halves miss pairs that differ in more bits")
     rows = variants(prints, column)
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(link_runs(most), "a long, b long")
 

@@ -106,3 +106,11 @@ def test_components_of_a_chain_and_of_nothing(spark):
     assert {(r.node, r.component) for r in found.collect()} == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
     none, _ = components.connected_components(spark.createDataFrame([], "a long, b long"))
     assert none.count() == 0
+
+
+def test_more_bits_than_the_halves_cover_are_refused(spark):
+    # two bits apart in each half: neither half meets, whatever the limit
+    prints = spark.createDataFrame([(0,), (0b11 << 32 | 0b11,)], "p long")
+    with pytest.raises(ValueError, match="from 0 to 3"):
+        simhash.near_edges(prints, "p", 4)
+    assert simhash.near_edges(prints, "p").count() == 0
