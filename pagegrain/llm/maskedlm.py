@@ -4,7 +4,10 @@ Every token is predicted from ``SIDE`` tokens on either side. The vocabulary
 comes from counts over all texts: the most frequent words, told by 64-bit hash,
 have a symbol of their own, the others share hashed ones. The network adds an embedding for
 each place of the window, applies tanh, and gives the probability of the
-token's class times that of the token within its class.
+token's class times that of the token within its class. A word of a shared
+symbol has that symbol's probability times its share of the symbol's count,
+from the counts of all words, which are joined in Spark; one count of each
+symbol is kept for the words that were never seen.
 
 Training is numpy on the executors: in each of ``ROUNDS`` rounds every task
 starts from the same parameters, masks one position in ``MASK`` of all its
@@ -23,7 +26,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
@@ -43,6 +46,7 @@ BATCH = 4096
 RATE = 0.2
 CHUNK = 1 << 14
 SCALE = 1 << 16
+SHARE_SCALE = 1 << 24
 
 _SHAPES = {
     "window": (2 * SIDE, SYMBOLS, WIDTH), "lift": (WIDTH,), "class_of": (WIDTH, CLASSES), "class_bias": (CLASSES,),
@@ -57,10 +61,11 @@ def words(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 class Vocabulary:
     """Symbol 0 is the space beyond a text's ends, then come shared symbols,
-    then those of ``own``, the hashes of the most frequent words."""
+    then those of ``own``, the hashes of the most frequent words. ``shares``
+    is the driver's table of the other words' shares of their symbols."""
 
-    def __init__(self, own: Sequence[int]) -> None:
-        self.own = list(own)
+    def __init__(self, own: Sequence[int], shares: DataFrame | None = None) -> None:
+        self.own, self.shares = list(own), shares
         # a table on the top bits finds a word's only candidate; where two meet, the more frequent
         self._hash = np.zeros(SYMBOLS, np.uint64)
         self._hash[SHARED + 1 : SHARED + 1 + len(self.own)] = self.own
@@ -68,12 +73,19 @@ class Vocabulary:
         for symbol in range(SHARED + len(self.own), SHARED, -1):
             self._at[int(self._hash[symbol]) >> 64 - TABLE_BITS] = symbol
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"shares": None}
+
     def ids(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' symbols, in order, and each text's count."""
         h, sizes = words(texts)
+        return self.symbols(h), sizes
+
+    def symbols(self, h: np.ndarray) -> np.ndarray:
+        """The symbols of words told by hash."""
         found = self._at[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
         shared = (h & np.uint64(SHARED - 1)).astype(np.int64) + 1
-        return np.where((found > 0) & (self._hash[found] == h), found, shared), sizes
+        return np.where((found > 0) & (self._hash[found] == h), found, shared)
 
 
 Parameters = dict[str, np.ndarray]
@@ -195,8 +207,31 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
 
 
+def _scaled(share: Column) -> Column:
+    """A share's logarithm as a whole number, whose sums don't depend on order."""
+    return F.rint(F.log(share) * SHARE_SCALE).cast("long")
+
+
+def _symbol(word: Column) -> Column:
+    """The shared symbol of a word without its own, as in ``Vocabulary.symbols``."""
+    return (word.bitwiseAND(F.lit(SHARED - 1)) + 1).cast("int")
+
+
+def _shares(counts: DataFrame, top: DataFrame) -> DataFrame:
+    """(word, share, symbol): for every word without its own symbol the scaled
+    logarithm of its share; with a null word, each shared symbol's floor."""
+    spark = counts.sparkSession
+    others = counts.join(F.broadcast(top), "word", "left_anti").withColumn("symbol", _symbol(F.col("word")))
+    held = others.groupBy("symbol").agg(F.sum("n").alias("held"))
+    every = spark.range(1, SHARED + 1).select(F.col("id").cast("int").alias("symbol")).join(held, "symbol", "left").select("symbol", (F.coalesce("held", F.lit(0)) + 1).alias("whole"))
+    every, _ = written(every, "symbol-counts")
+    seen = others.join(F.broadcast(every), "symbol").select("word", _scaled(F.col("n") / F.col("whole")).alias("share"), "symbol")
+    floors = every.select(F.lit(None).cast("long").alias("word"), _scaled(1 / F.col("whole")).alias("share"), "symbol")
+    return written(seen.unionByName(floors), "word-shares")[0]
+
+
 def vocabulary(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, np.ndarray]:
-    """The vocabulary and each symbol's count, from every text."""
+    """The vocabulary, with the shares of all other words, and each symbol's count, from every text."""
     counts, _ = written(
         docs.select(F.col(quoted(text)).alias("t")).mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts"
     )
@@ -205,7 +240,8 @@ def vocabulary(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, np.ndar
     frequency[SHARED + 1 : SHARED + 1 + len(top)] = [r["n"] for r in top]
     rest = (counts.agg(F.sum("n").alias("n")).first()["n"] or 0) - frequency.sum()
     frequency[1 : SHARED + 1] = rest / SHARED
-    return Vocabulary([r["word"] % (1 << 64) for r in top]), frequency
+    own = docs.sparkSession.createDataFrame([(r["word"],) for r in top], "word long")
+    return Vocabulary([r["word"] % (1 << 64) for r in top], _shares(counts, own)), frequency
 
 
 def _train(values: np.ndarray, known: Vocabulary, turn: int):
@@ -260,6 +296,46 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Vo
     return known, values
 
 
+def _shared_words(known: Vocabulary):
+    """Arrow map from (key, t) to (key, word, n, copies): how often each word
+    without its own symbol occurs in a slice's texts of one key, and, in one
+    row of each key, with a null word, the number of those texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "t"):
+                keys, first, copies = np.unique(part.column(0).to_numpy(), return_index=True, return_counts=True)
+                h, sizes = words(part.column(1).take(pa.array(first)).to_pylist())
+                text = np.repeat(np.arange(len(sizes)), sizes)
+                shared = known.symbols(h) <= SHARED
+                h, text = h[shared], text[shared]
+                order = np.lexsort((h, text))
+                h, text = h[order], text[order]
+                begin = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1]))) if len(h) else np.empty(0, np.int64)
+                n = np.diff(np.append(begin, len(h))) * copies[text[begin]]
+                nulls = pa.nulls(len(keys), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate((keys[text[begin]], keys))), pa.concat_arrays([pa.array(h[begin].view(np.int64)), nulls]),
+                        pa.array(np.concatenate((n, np.zeros(len(keys), np.int64)))), pa.array(np.concatenate((np.zeros(len(n), np.int64), copies))),
+                    ],
+                    names=["key", "word", "n", "copies"],
+                )
+
+    return run
+
+
+def _share_sums(texts: DataFrame, known: Vocabulary) -> DataFrame:
+    """(__same, __within): for every key the summed logarithms of the shares that
+    the words of one of its equal texts have of their symbols."""
+    rows = texts.mapInArrow(_shared_words(known), "key long, word long, n long, copies long")
+    table = known.shares.where("word IS NOT NULL").select(F.col("word").alias("w"), "share").hint("shuffle_hash")
+    floors = known.shares.where("word IS NULL").select(F.col("symbol").alias("s"), F.col("share").alias("floor"))
+    said = rows.join(table, F.col("word") == F.col("w"), "left").join(F.broadcast(floors), _symbol(F.col("word")) == F.col("s"), "left")
+    each = F.coalesce(F.col("n") * F.coalesce("share", "floor"), F.lit(0))
+    return said.groupBy(F.col("key").alias("__same")).agg((F.sum(each) / F.sum("copies") / SHARE_SCALE).alias("__within"))
+
+
 def with_pseudo_likelihood(df: DataFrame, known: Vocabulary, values: np.ndarray, text: str = "text") -> DataFrame:
     """Adds n_tokens, pll (the sum of log-probabilities of all tokens) and
     pll_mean; input columns of those names are replaced."""
@@ -270,10 +346,14 @@ def with_pseudo_likelihood(df: DataFrame, known: Vocabulary, values: np.ndarray,
         def work(texts: pa.Array):
             ids, sizes = known.ids(texts.to_pylist())
             c, t, at = windows(ids, sizes)
-            sums, n = np.bincount(at, log_probabilities(p, c, t), len(sizes)).tolist(), sizes.tolist()
-            return [n, sums, [s / k if k else None for s, k in zip(sums, n)]]
+            return [sizes.tolist(), np.bincount(at, log_probabilities(p, c, t), len(sizes)).tolist()]
 
         return work
 
-    outputs = [("n_tokens", LongType(), pa.int64()), ("pll", DoubleType(), pa.float64()), ("pll_mean", DoubleType(), pa.float64())]
-    return map_columns(df, [text], outputs, make, weigh=text)
+    key = F.xxhash64(F.coalesce(F.col(quoted(text)), F.lit("")))
+    scored = map_columns(df.withColumn("__key", key), [text], [("n_tokens", LongType(), pa.int64()), ("pll", DoubleType(), pa.float64())], make, weigh=text)
+    pll = F.col("pll")
+    if known.shares is not None:
+        sums = _share_sums(df.select(key.alias("key"), F.col(quoted(text)).alias("t")), known)
+        scored = scored.join(sums, F.col("__key") == F.col("__same"), "left").withColumn("pll", pll + F.coalesce("__within", F.lit(0.0))).drop("__same", "__within")
+    return scored.drop("__key").withColumn("pll_mean", F.when(F.col("n_tokens") > 0, pll / F.col("n_tokens")))

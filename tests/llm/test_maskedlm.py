@@ -97,3 +97,34 @@ def test_nulls_repeats_names_and_nothing(spark):
     none = df.limit(0)
     known, values = lm.train(none)
     assert lm.with_pseudo_likelihood(none, known, values).count() == 0
+
+
+def test_rare_words_have_their_share_and_unseen_ones_the_floor(spark, monkeypatch):
+    # two own symbols: all other words share
+    monkeypatch.setattr(lm, "SYMBOLS", lm.SHARED + 3)
+    seen = ["a a a a a a a b b b b b b b", "rare rare rare once w1 w2 w3 w4 w5 w6 w7 w8 w9", "rare once two", "rare once two"]
+    known, _ = lm.vocabulary(spark.createDataFrame([(t,) for t in seen], "text string").repartition(2))
+    monkeypatch.undo()
+    values = lm.flat(lm.start(np.ones(lm.SYMBOLS)))
+    counts = {}
+    for t in seen:
+        for h in lm.words([t])[0].tolist():
+            counts[h] = counts.get(h, 0) + 1
+    own = set(known.own)
+
+    def within(text):
+        total = 0.0
+        for h in lm.words([text])[0].tolist():
+            if h not in own:
+                held = sum(n for w, n in counts.items() if w not in own and w % lm.SHARED == h % lm.SHARED)
+                total += np.log(counts.get(h, 1) / (held + 1))
+        return total
+
+    texts = ["a rare once", "a rare once", "rare rare two w3", "zzqx qqzv", "a b", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    rows = lm.with_pseudo_likelihood(df, known, values).collect()
+    assert len(rows) == len(texts)
+    bare = {r.text: r.pll for r in lm.with_pseudo_likelihood(df, lm.Vocabulary(known.own), values).collect()}
+    for r in rows:
+        assert r.pll == pytest.approx(bare[r.text] + (within(r.text) if r.text else 0), abs=1e-5)
+    assert within("a rare once") < 0 and within("a b") == 0
