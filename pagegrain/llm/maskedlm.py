@@ -10,8 +10,10 @@ from the counts of all words, which are joined in Spark; one count of each
 symbol is kept for the words that were never seen.
 
 Training is numpy on the executors: in each of ``ROUNDS`` rounds every task
-starts from the same parameters, masks one position in ``MASK`` of all its
-texts (others in each round) and fits them; the parameters' mean, weighted by
+starts from the same parameters, masks its round's share of the positions of
+all its texts and fits them. Positions are dealt to ``MASK`` groups and these
+to the rounds, so together the rounds mask every position once (more than
+``MASK`` rounds begin again). The parameters' mean, weighted by
 examples and summed in whole numbers so that order doesn't matter, is the next
 round's start. What leaves a task is the model's size, whatever the text.
 
@@ -184,16 +186,19 @@ def slopes(p: Parameters, context: np.ndarray, target: np.ndarray) -> Parameters
     return g
 
 
-def windows(ids: np.ndarray, sizes: np.ndarray, turn: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(ids: np.ndarray, sizes: np.ndarray, turn: int | None = None, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context by place, target, number of the text) of every token, or of
-    those that are masked in a round."""
+    those that are masked in round ``turn`` of ``rounds``, which depend on
+    their own text alone."""
     text = np.repeat(np.arange(len(sizes)), sizes)
     here = np.arange(len(ids)) + SIDE * (text + 1)
     line = np.zeros(len(ids) + SIDE * (len(sizes) + 1), np.int64)
     line[here] = ids
     if turn is not None:
-        mix = (np.arange(len(here), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-        some = mix % np.uint64(MASK) == turn % MASK
+        place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        salt = np.bincount(text, ids, len(sizes)).astype(np.int64)[text]
+        mix = (place + salt).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+        some = mix % np.uint64(MASK) % np.uint64(min(rounds, MASK)) == turn % min(rounds, MASK)
         here, text = here[some], text[some]
     sides = [*range(-SIDE, 0), *range(1, SIDE + 1)]
     return np.stack([line[here + s] for s in sides]) if len(here) else np.empty((2 * SIDE, 0), np.int64), line[here], text
@@ -244,7 +249,7 @@ def vocabulary(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, np.ndar
     return Vocabulary([r["word"] % (1 << 64) for r in top], _shares(counts, own)), frequency
 
 
-def _train(values: np.ndarray, known: Vocabulary, turn: int):
+def _train(values: np.ndarray, known: Vocabulary, turn: int, rounds: int):
     """Arrow map from texts to (place, sum): the task's parameters times its examples."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +264,7 @@ def _train(values: np.ndarray, known: Vocabulary, turn: int):
 
         for batch in batches:
             for part in slices(batch, "t"):
-                c, t, _ = windows(*known.ids(part.column(0).to_pylist()), turn)
+                c, t, _ = windows(*known.ids(part.column(0).to_pylist()), turn, rounds)
                 held.append((c, t))
                 waiting += len(t)
                 seen += len(t)
@@ -286,7 +291,7 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Vo
     values = flat(start(frequency))
     texts = docs.select(F.col(quoted(text)).alias("t"))
     for turn in range(rounds):
-        sums = texts.mapInArrow(_train(values, known, turn), "place int, total long").groupBy("place").agg(F.sum("total").alias("total")).toArrow()
+        sums = texts.mapInArrow(_train(values, known, turn, rounds), "place int, total long").groupBy("place").agg(F.sum("total").alias("total")).toArrow()
         if not sums.num_rows:
             break
         place, total = sums.column("place").to_numpy(), sums.column("total").to_numpy()

@@ -128,3 +128,26 @@ def test_rare_words_have_their_share_and_unseen_ones_the_floor(spark, monkeypatc
     for r in rows:
         assert r.pll == pytest.approx(bare[r.text] + (within(r.text) if r.text else 0), abs=1e-5)
     assert within("a rare once") < 0 and within("a b") == 0
+
+
+@pytest.mark.parametrize("rounds", [lm.ROUNDS, 3, lm.MASK])
+def test_the_rounds_together_mask_every_position_once(rounds):
+    texts = ["one", "two words", "", None, "the same text", "a longer text of some more words than sixteen so that it goes round and round again", "x " * 999]
+    known = known_words()
+    ids, sizes = known.ids(texts)
+    masked = [lm.windows(ids, sizes, turn, rounds) for turn in range(rounds)]
+    assert (sum(np.bincount(at, minlength=len(sizes)) for _, _, at in masked) == sizes).all()
+    assert sorted(np.concatenate([t for _, t, _ in masked]).tolist()) == sorted(ids.tolist())
+    # a text's positions don't depend on its neighbours
+    alone = [lm.windows(*known.ids(texts[5:6]), turn, rounds) for turn in range(rounds)]
+    for (c, t, at), (c1, t1, _) in zip(masked, alone):
+        assert (t[at == 5] == t1).all() and (c[:, at == 5] == c1).all()
+
+
+def test_the_querys_own_rounds_beat_frequencies(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    seen, other = docs.where("doc_id % 4 <> 0"), docs.where("doc_id % 4 = 0").dropDuplicates(["text"])
+    known, values = lm.train(seen)
+    _, frequency = lm.vocabulary(seen)
+    total = lambda v: lm.with_pseudo_likelihood(other, known, v).agg({"pll": "sum"}).first()[0]
+    assert total(values) > total(lm.flat(lm.start(frequency)))
