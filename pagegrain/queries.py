@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagegrain.functions import scalar
 from pagegrain.operators import answers, blocks, boundaries, checks, layout, patterns, results, sampling, spacing, tokens, words
-from pagegrain.plans import provider, report, summary, workflow
+from pagegrain.plans import analysis, provider, report, summary, workflow
 from pagegrain.sources import adapters, records, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -862,10 +862,8 @@ def report_lines(spark, sf_dir):
 
 @query()
 def recorded_answers(spark, sf_dir):
-    """Prompts of the first pages' blocks, answered from recordings."""
-    lines = gapped(spark, sf_dir)
-    found = blocks.streamlined(blocks.blocks(blocks.numbered_lines(lines, rules_of(lines))).where("doc_id % 50 = 0 AND page = 1"))
-    asked = provider.prompts(found)
+    """Prompts of every document's page sample, answered from recordings."""
+    asked = analysis.sampled_prompts(gapped(spark, sf_dir))
 
     class Echo:
         def complete(self, prompt: str) -> provider.Answer:

@@ -40,3 +40,9 @@ def test_query_matches_its_sql(spark, duck, sf, name):
 def test_recorded_answers_have_a_row_for_each_document(spark, sf):
     rows = layout.QUERIES["recorded_answers"](spark, sf).collect()
     assert rows and all(r.model == "echo" and r.prompt_tokens > 0 for r in rows)
+
+
+def test_recorded_answers_ask_about_every_document_with_text(spark, sf):
+    ids = [r.doc_id for r in layout.QUERIES["recorded_answers"](spark, sf).select("doc_id").collect()]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("trim(text) <> ''")
+    assert sorted(ids) == sorted(r.doc_id for r in docs.select("doc_id").collect())
