@@ -72,3 +72,12 @@ def test_awkward_rows_and_nothing(spark, sf):
 
 def test_run_applies_all_stages(spark, sf):
     assert {"doc_id", "n_tokens", "token_ids"} == set(corpus_pipeline.run(spark, sf).columns)
+
+
+def test_encoding_stops_where_ids_do_not_give_back_the_text(spark, sf, monkeypatch):
+    df = spark.createDataFrame([(1, "fine words", "en", "s", 10), (2, None, None, None, None)], SCHEMA)
+    assert len(stage("byte_bpe")(spark, df, sf).collect()) == 2
+    decode = bpe.decode_ids
+    monkeypatch.setattr(bpe, "decode_ids", lambda *a: decode(*a).withColumn("decoded", F.concat("decoded", F.lit(b"x"))))
+    with pytest.raises(Exception, match="give back the text of document"):
+        stage("byte_bpe")(spark, df, sf).collect()
