@@ -9,7 +9,7 @@ out if its bound times ``factor`` exceeds the k-th distance found so far:
 factor 1 is exact, larger ones leave out more.
 
 Vectors that are null, empty, zero or hold null or non-finite components take
-no part, nor do rows with a null id or another dimension than the first id's.
+no part, nor do rows with a null id or another dimension than the most frequent.
 Rows that repeat an id count once (the smallest vector). Equal vectors are one
 point with several ids, so large groups of copies cost one comparison.
 """
@@ -86,9 +86,13 @@ class Tree:
                 held.append((child, np.maximum(low, np.maximum(d - hi, lo - d))))
         return out
 
-    def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, int]:
+    def search(self, queries: np.ndarray, k: int, factor: float, by_product: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
         """Rows of the k nearest points of each query (-1: none), their
-        distances, and how many distances were computed."""
+        distances, and how many distances were computed.
+
+        ``by_product``: for points of one norm, the order is that of inner
+        products, whose digits a large norm doesn't take, and these are given,
+        negated; distances only spare leaves."""
         n, seen = len(queries), 0
         k = min(k, len(self.points))
         rows, best = np.full((n, k), -1), np.full((n, k), np.inf)
@@ -102,7 +106,9 @@ class Tree:
             nonlocal seen
             part = self.leaves[name]
             seen += len(which) * len(part)
-            far = np.sqrt(np.maximum(squares[which][:, None] + own[part] - 2 * queries[which] @ self.points[part].T, 0))
+            far = -(queries[which] @ self.points[part].T)
+            if not by_product:
+                far = np.sqrt(np.maximum(squares[which][:, None] + own[part] + 2 * far, 0))
             both = np.concatenate((best[which], far), axis=1)
             names = np.concatenate((rows[which], np.broadcast_to(part, far.shape)), axis=1)
             take = np.argpartition(both, k - 1, axis=1)[:, :k]
@@ -113,7 +119,10 @@ class Tree:
             visit(which, name)
             done[which, name] = True
         for name in np.argsort(low.mean(axis=0)):
-            which = np.flatnonzero(~done[:, name] & (low[:, name] <= best.max(axis=1) + slack))
+            worst = best.max(axis=1)
+            if by_product:
+                worst = np.sqrt(np.maximum(squares + own.max() + 2 * worst, 0))
+            which = np.flatnonzero(~done[:, name] & (low[:, name] <= worst + slack))
             if len(which):
                 visit(which, name)
         return rows, best, seen
@@ -140,7 +149,7 @@ class Shard:
 
     def nearest(self, ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[list[int], list[int], list[float]]:
         """query ids, vector ids and inner products of this shard's nearest."""
-        rows, _, _ = self.tree.search(np.column_stack((queries, np.zeros(len(queries)))), k + 1, factor)
+        rows, _, _ = self.tree.search(np.column_stack((queries, np.zeros(len(queries)))), k + 1, factor, by_product=True)
         at, place = np.nonzero(rows >= 0)
         points = rows[at, place]
         # summed component by component, so the last digit is the same whatever the batch, and equal vectors tie
@@ -214,9 +223,10 @@ def nearest(
     rows = vectors.where(F.col(quoted(key)).isNotNull() & valid(F.col(quoted(column))))
     rows = rows.select(F.col(quoted(key)).cast("long").alias("id"), F.col(quoted(column)).cast("array<double>").alias("vector"), is_query.alias("query"))
     rows, _ = written(rows.groupBy("id").agg(F.min(F.struct("vector", "query")).alias("r")).select("id", "r.vector", "r.query"), "vectors")
-    bound = rows.agg(F.count(F.lit(1)).alias("n"), F.min_by(F.size("vector"), "id").alias("width")).first()
-    shards = max(1, -(-bound["n"] // shard_rows))
-    rows = rows.where(F.size("vector") == F.lit(bound["width"] or 0))
+    bound = rows.groupBy(F.size("vector").alias("width")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "width").first()
+    n, width = (bound["n"], bound["width"]) if bound else (0, 0)
+    shards = max(1, -(-n // shard_rows))
+    rows = rows.where(F.size("vector") == F.lit(width))
     stored = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "vector")
     asked = rows.where("query").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "vector")
     laid = stored.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "id")

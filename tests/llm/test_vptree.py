@@ -75,3 +75,18 @@ def test_vectors_that_take_no_part(spark):
     assert search(spark, []) == {} and search(spark, [(0, [1.0], 1)]) == {}
     with pytest.raises(ValueError):
         search(spark, rows, factor=0.5)
+
+
+def test_a_huge_vector_does_not_blur_the_others(spark):
+    x = np.random.default_rng(5).normal(size=(300, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[299] = 0
+    x[299, 0] = 1e9
+    rows = {i: v.tolist() for i, v in enumerate(x)}
+    got = search(spark, [(i, v, 0) for i, v in rows.items()])
+    assert {q: [v for _, v, _ in r] for q, r in got.items()} == brute(rows, 20)
+
+
+def test_the_most_frequent_dimension_stays(spark):
+    rows = [(0, [1.0, 2.0, 3.0], 1), (20, [1.0, 0.0], 1), (40, [2.0, 1.0], 1), (41, [0.0, 1.0], 1)]
+    assert {q: [v for _, v, _ in r] for q, r in search(spark, rows).items()} == {20: [40, 41], 40: [20, 41]}
