@@ -76,15 +76,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From 12 shards by key to 16 of equal bytes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    docs = docs.withColumn("home", F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)), F.lit(12)).cast("int"))
-    placed = reshard.reshard(docs, "home", 12, 16).select(
-        "doc_id",
-        (F.coalesce(F.octet_length("text").cast("long"), F.lit(0)) + 1).alias("size"),
-        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
-        "shard", "old_shard", "block", "slot_from",
-    )
-    return reshard.with_slots(placed, ["doc_id", "text_crc32", "size"]).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard"
+    old = scratch_path(spark, "old-shards")
+    reshard.write_shards(docs, F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)), F.lit(12)), old)
+    return reshard.reshard(spark, old, docs.schema, 12, 16).select(
+        "row.doc_id", "size", F.crc32(F.coalesce("row.text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("home").alias("old_shard"), "kept",
     )
 
 
