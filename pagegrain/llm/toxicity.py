@@ -8,10 +8,14 @@ the risk over texts that are not toxic; where it falls below zero, which only
 overfitting can cause, the step goes back up it.
 
 Labels come only from keys whose crc32 is no multiple of ``FOLDS``, and so do
-the unlabelled texts, whose labels are not read. The classifier is fitted on
-bounded samples by hash, ``MAX_TOXIC`` and ``MAX_UNLABELLED`` texts about (twice
-that at most); the prior comes from all labels of those keys. Features that
-toxic texts hold no more often than chance would have it are left out.
+the unlabelled texts, whose labels are not read. All of these texts count: each
+task sums its texts' part of the risk's slope, in whole numbers, so that neither
+order nor partitioning changes the result. Confirmed toxic are the texts of at
+most ``MAX_TOXIC`` keys, those of smallest hash; nothing else is bounded. Only
+positive labels are read. The prior is the least that a feature allows, as the
+share of the unlabelled texts that holds it can't be below the prior times its
+share among the toxic ones. Features that toxic texts hold no more often than chance
+would have it are left out.
 
 Null and empty texts have no features; their score is that of the bias. Keys
 without a label, null keys and repeated rows are scored like any others; of
@@ -21,6 +25,7 @@ clipped prior.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,19 +34,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from pagegrain.llm.common import map_columns, quoted
+from pagegrain.llm.common import map_columns, quoted, remove, slices, written
 from pagegrain.llm.wordhash import Words, chunks
 
 BITS = 18
 FOLDS = 5
 MAX_TOXIC = 3000
-MAX_UNLABELLED = 8000
 BEGINNINGS = (4, 5, 6)
 LEAST_TEXTS = 3
 LEAST_SIGMAS = 3.0
-EPOCHS = 200
-RATE = 0.1
+SURE = 2.0
+EPOCHS = 60
+RATE = 0.2
 DECAY = 1e-4
+SCALE = 1 << 24
 
 
 def _chunk_features(data: np.ndarray) -> np.ndarray:
@@ -75,44 +81,49 @@ def score(text: str | None, table: np.ndarray, bias: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(table[found].sum() + bias, -500, 500))))
 
 
-def _rows(sets: list[np.ndarray], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = [place[s][place[s] >= 0] for s in sets]
-    return np.repeat(np.arange(len(at)), [len(x) for x in at]), np.concatenate([*at, np.empty(0, np.int64)]).astype(np.int64)
+def least_prior(among: np.ndarray, everywhere: np.ndarray, n: int, m: int) -> float:
+    """The share of toxic texts that the features' counts in n toxic and in m
+    unlabelled texts allow: that of the feature whose bound is the least
+    with ``SURE`` standard deviations on top."""
+    ratio = everywhere / m / (among / n)
+    return float(ratio[np.argmin(ratio * (1 + SURE * np.sqrt(1 / among + 1 / everywhere)))])
 
 
-def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
-    """Trains on sets of distinct buckets."""
-    prior = float(np.clip(prior, 1e-4, 0.9))
+def selected(among: np.ndarray, everywhere: np.ndarray, n: int, m: int) -> np.ndarray:
+    """Features that toxic texts hold more often than chance would have it."""
+    chance = everywhere * (n / m)
+    return np.flatnonzero((among >= LEAST_TEXTS) & (among - chance >= LEAST_SIGMAS * np.sqrt(chance + 1)))
+
+
+def partial_sums(at: np.ndarray, sizes: np.ndarray, w: np.ndarray, bias: float) -> np.ndarray:
+    """Sums over texts, in whole numbers: of the probability of toxic by
+    feature, of it, and of the loss as not toxic. ``at``: the features of all
+    texts in turn, ``sizes``: how many each has."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    z = np.clip(np.bincount(row, w[at], len(sizes)) + bias, -500, 500)
+    probable = np.rint(SCALE / (1 + np.exp(-z)))
+    loss = np.rint(SCALE * np.logaddexp(0, z))
+    return np.concatenate((np.bincount(at, probable[row], len(w)), [probable.sum(), loss.sum()])).astype(np.int64)
+
+
+def fit(sums, among: np.ndarray, n: int, m: int, prior: float) -> tuple[float, np.ndarray]:
+    """(bias, weights) by full steps down the non-negative risk. ``sums(w,
+    bias)`` gives ``partial_sums`` of the toxic and of the unlabelled texts;
+    ``among``: how many toxic texts hold each feature."""
     bias = float(np.log(prior / (1 - prior)))
-    n, m = len(toxic), len(unlabelled)
-    none = Model(bias, np.empty(0, np.int64), np.empty(0))
-    if not n or not m:
-        return none
-    among = np.bincount(np.concatenate(toxic), minlength=1 << BITS).astype(float)
-    chance = np.bincount(np.concatenate(unlabelled), minlength=1 << BITS) * (n / m)
-    kept = np.flatnonzero((among >= LEAST_TEXTS) & (among - chance >= LEAST_SIGMAS * np.sqrt(chance + 1)))
-    if not len(kept):
-        return none
-    place = np.full(1 << BITS, -1)
-    place[kept] = np.arange(len(kept))
-    (rp, cp), (ru, cu) = _rows(toxic, place), _rows(unlabelled, place)
-    w, first, second = np.zeros(len(kept)), np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
+    w, first, second = np.zeros(len(among)), np.zeros(len(among) + 1), np.zeros(len(among) + 1)
+    of_toxic = np.append(among, n) / n
     for step in range(1, EPOCHS + 1):
-        zp = np.clip(np.bincount(rp, w[cp], n) + bias, -500, 500)
-        zu = np.clip(np.bincount(ru, w[cu], m) + bias, -500, 500)
-        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        # logistic losses: log(1 + e^-z) as toxic, log(1 + e^z) as not
-        clean_risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        if clean_risk >= 0:
-            gp, gu, pull = -prior * (1 - sp) / n - prior * sp / n, su / m, DECAY
+        toxic, unlabelled = (x / SCALE for x in sums(w, bias))
+        # logistic losses: log(1 + e^-z) as toxic, log(1 + e^z) as not; they differ by z
+        if unlabelled[-1] / m - prior * toxic[-1] / n >= 0:
+            slope = unlabelled[:-1] / m - prior * of_toxic + DECAY * np.append(w, 0)
         else:
-            gp, gu, pull = prior * sp / n, -su / m, 0.0
-        slope = np.bincount(cp, gp[rp], len(kept)) + np.bincount(cu, gu[ru], len(kept)) + pull * w
-        slope = np.append(slope, gp.sum() + gu.sum())
+            slope = prior * toxic[:-1] / n - unlabelled[:-1] / m
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         move = RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
         w, bias = w - move[:-1], bias - float(move[-1])
-    return Model(bias, kept, w)
+    return bias, w
 
 
 def held_out(key: Column) -> Column:
@@ -120,33 +131,92 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % FOLDS == 0, F.lit(True))
 
 
-def _feature_sets(batches):
+def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(whether toxic, distinct buckets) of a slice's texts."""
+    found = [np.unique(features(x)) for x in batch.column(1).to_pylist()]
+    return batch.column(0).to_numpy(zero_copy_only=False), found
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, toxic, texts): how many toxic texts and texts in all hold it; of
+    the bucket that is none, how many there are."""
+    counts = np.zeros((2, (1 << BITS) + 1), np.int64)
     for batch in batches:
-        for i in range(batch.num_rows):
-            found = np.unique(features(batch.column(0)[i].as_py())).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, 1), pa.array([found], pa.list_(pa.int32()))], names=["toxic", "buckets"])
+        for part in slices(batch, "t"):
+            toxic, found = _sets(part)
+            for row, some in enumerate((toxic, np.ones(len(toxic), bool))):
+                held = [x for x, t in zip(found, some) if t]
+                counts[row, : 1 << BITS] += np.bincount(np.concatenate([*held, np.empty(0, np.int32)]), minlength=1 << BITS)
+                counts[row, -1] += len(held)
+    at = np.flatnonzero(counts[1])
+    for i in range(0, len(at), 10_000):
+        some = at[i : i + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[0, some]), pa.array(counts[1, some])], names=["bucket", "toxic", "texts"])
+
+
+def _pack(kept: np.ndarray):
+    """Arrow map from texts to rows of many texts' places among ``kept``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(1 << BITS, -1, np.int32)
+        place[kept] = np.arange(len(kept))
+        for batch in batches:
+            for part in slices(batch, "t"):
+                toxic, found = _sets(part)
+                at = [p[p >= 0] for p in (place[x] for x in found)]
+                for kind in (False, True):
+                    held = [x for x, t in zip(at, toxic) if t or not kind]
+                    if held:
+                        sizes = np.array([len(x) for x in held], np.int32)
+                        yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([np.concatenate(held).tobytes()]), pa.array([sizes.tobytes()])], names=["toxic", "places", "sizes"])
+
+    return run
+
+
+def _sum(w: np.ndarray, bias: float):
+    """Arrow map from packed rows to (toxic, place, total)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((2, len(w) + 2), np.int64)
+        for batch in batches:
+            for toxic, places, sizes in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                totals[int(toxic)] += partial_sums(np.frombuffer(places, np.int32), np.frombuffer(sizes, np.int32), w, bias)
+        for kind in np.flatnonzero(totals.any(axis=1)).tolist():
+            names = pa.array(np.arange(len(w) + 2, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array([bool(kind)] * len(names)), names, pa.array(totals[kind])], names=["toxic", "place", "total"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Fits the classifier from the labelled keys outside the held-out fold."""
-    known = labels.where(F.col(quoted(key)).isNotNull() & F.col(quoted(label)).isNotNull() & ~held_out(F.col(quoted(key))))
-    known = known.groupBy(F.col(quoted(key)).alias("k")).agg(F.max(F.col(quoted(label)).cast("int")).alias("y"))
-    seen = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("toxic")).first()
+    """Fits the classifier from the keys outside the held-out fold."""
+    spark = docs.sparkSession
+    known = labels.where(F.col(quoted(key)).isNotNull() & (F.col(quoted(label)).cast("int") == 1) & ~held_out(F.col(quoted(key))))
+    some = known.select(F.col(quoted(key)).alias("k")).distinct().orderBy(F.xxhash64("k"), "k").limit(MAX_TOXIC).withColumn("toxic", F.lit(True))
     open_docs = docs.select(F.col(quoted(key)).alias("k"), F.col(quoted(text)).alias("t")).where(~held_out(F.col("k")))
-    total = open_docs.count()
-
-    def share(of: int, most: int, salt: int) -> Column:
-        return F.pmod(F.xxhash64(F.col("k"), F.lit(salt)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(1, of)))
-
-    some = known.where((F.col("y") == 1) & share(seen["toxic"], MAX_TOXIC, 1)).select("k").limit(2 * MAX_TOXIC)
-    toxic = open_docs.join(F.broadcast(some), "k", "left_semi").select("t", F.lit(True).alias("toxic"))
-    rest = open_docs.where(share(total, MAX_UNLABELLED, 2)).select("t", F.lit(False).alias("toxic"))
-    shape = "toxic boolean, buckets array<int>"
-    made = [rows.mapInArrow(_feature_sets, shape).limit(2 * most).toArrow() for rows, most in ((toxic, MAX_TOXIC), (rest, MAX_UNLABELLED))]
-    sets = [[x.values.to_numpy() for x in t.column("buckets")] for t in made]
-    prior = seen["toxic"] / seen["n"] if seen["n"] else 0.0
-    # sums run over sorted rows, so the fit doesn't depend on which task ended first
-    return fit(*[sorted(s, key=lambda x: (len(x), x.tobytes())) for s in sets], prior)
+    told = open_docs.join(F.broadcast(some), "k", "left").select(F.coalesce("toxic", F.lit(False)).alias("toxic"), "t")
+    # as many rows as buckets at most
+    found = told.mapInArrow(_count, "bucket int, toxic long, texts long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("texts").alias("texts")).toArrow()
+    counts = np.zeros((2, (1 << BITS) + 1))
+    for row, name in enumerate(("toxic", "texts")):
+        counts[row, found.column("bucket").to_numpy()] = found.column(name).to_numpy()
+    (among, everywhere), (n, m) = counts[:, :-1], counts[:, -1].astype(int).tolist()
+    none = np.empty(0, np.int64)
+    kept = selected(among, everywhere, n, m) if n else none
+    prior = float(np.clip(least_prior(among[kept], everywhere[kept], n, m) if len(kept) else 0.0, 1e-4, 0.9))
+    if not len(kept):
+        return Model(float(np.log(prior / (1 - prior))), none, np.empty(0))
+    packed, path = written(told.mapInArrow(_pack(kept), "toxic boolean, places binary, sizes binary"), "toxicity-features")
+
+    def sums(w: np.ndarray, bias: float) -> np.ndarray:
+        made = packed.mapInArrow(_sum(w, bias), "toxic boolean, place int, total long").groupBy("toxic", "place").agg(F.sum("total").alias("total")).toArrow()
+        out = np.zeros((2, len(w) + 2))
+        out[made.column("toxic").to_numpy(zero_copy_only=False).astype(int), made.column("place").to_numpy()] = made.column("total").to_numpy()
+        return out[::-1]
+
+    bias, w = fit(sums, among[kept], n, m, prior)
+    remove(spark, path)
+    return Model(bias, kept, w)
 
 
 def with_toxicity(df: DataFrame, model: Model, text: str = "text", out: str = "toxicity") -> DataFrame:
