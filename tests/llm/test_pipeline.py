@@ -8,7 +8,7 @@ import corpus_pipeline
 from pagegrain.llm import bpe, toxicity
 from pagegrain.llm.queries import VOCABULARY
 from tests.llm.test_decontaminate import slow
-from tests.llm.test_simhash import slow_components, slow_fingerprint
+from tests.llm.test_simhash import slow_groups
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -36,7 +36,7 @@ def test_toxicity_keeps_what_it_scores_low(spark, sf, docs):
 
 def test_one_of_each_group_stays(spark, sf, docs):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
-    groups = slow_components([slow_fingerprint(t) for _, t in rows])
+    groups, _ = slow_groups([t for _, t in rows])
     kept = stage("simhash_near_dedup")(spark, docs, sf)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [rows[i][0] for i in sorted(set(groups))]

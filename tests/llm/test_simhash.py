@@ -19,7 +19,45 @@ def slow_fingerprint(text, width=3):
     return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
 
 
-def slow_components(prints):
+def slow_word_fingerprint(text):
+    hashes = [xxhash.xxh64_intdigest(w, 42) for w in set(WORDS.findall((text or "").encode().translate(LOWER)))]
+    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+
+def slow_shingles(text, width=5):
+    w = WORDS.findall((text or "").encode().translate(LOWER))
+    return {b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def slow_similarity(a, b):
+    return 1.0 if not a and not b else len(a & b) / len(a | b)
+
+
+def slow_groups(texts, bits=7, least=0.8):
+    """For each text the number of the first one of its group, and the pairs
+    that are similar, whatever their fingerprints."""
+    prints, sets = [slow_word_fingerprint(t) for t in texts], [slow_shingles(t) for t in texts]
+    top, pairs = list(range(len(texts))), []
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    held = {}
+    for i, s in enumerate(sets):
+        for j in sorted({j for x in s for j in held.get(x, ())} | {j for j in range(i) if not s and not sets[j]}):
+            if slow_similarity(s, sets[j]) >= least:
+                pairs.append((j, i))
+                if bin(prints[i] ^ prints[j]).count("1") <= bits:
+                    a, b = root(i), root(j)
+                    top[max(a, b)] = min(a, b)
+        for x in s:
+            held.setdefault(x, []).append(i)
+    return [root(i) for i in range(len(texts))], pairs
+
+
+def slow_components(prints, most=3):
     top = {i: i for i in range(len(prints))}
 
     def root(x):
@@ -29,7 +67,7 @@ def slow_components(prints):
 
     for i in range(len(prints)):
         for j in range(i):
-            if bin(prints[i] ^ prints[j]).count("1") <= 3:
+            if bin(prints[i] ^ prints[j]).count("1") <= most:
                 a, b = root(i), root(j)
                 top[max(a, b)] = min(a, b)
     return [root(i) for i in range(len(prints))]
@@ -52,21 +90,29 @@ def random_prints(n, centres, flips, seed):
     return sorted(out)
 
 
-@pytest.mark.parametrize("n, centres, flips, limit", [(300, 40, 5, 512), (400, 2, 4, 512), (400, 2, 4, 16), (600, 1, 3, 32), (50, 50, 0, 512)])
-def test_no_link_is_lost(spark, monkeypatch, n, centres, flips, limit):
+def test_word_fingerprints():
+    for text in (None, "", "A", "one Two two ONE three", "é É\x0bx " * 30):
+        assert simhash.word_fingerprint(text) == slow_word_fingerprint(text)
+
+
+@pytest.mark.parametrize(
+    "n, centres, flips, limit, most",
+    [(300, 40, 5, 512, 3), (400, 2, 4, 512, 3), (400, 2, 4, 16, 3), (600, 1, 3, 32, 3), (50, 50, 0, 512, 3), (300, 30, 8, 512, 7), (400, 2, 7, 16, 7), (300, 40, 6, 512, 4), (300, 10, 13, 32, 12), (60, 5, 2, 512, 0)],
+)
+def test_no_link_is_lost(spark, monkeypatch, n, centres, flips, limit, most):
     # a small limit makes long runs be indexed again; tasks read it from the module
     monkeypatch.setattr(simhash, "RUN_LIMIT", limit)
     prints = random_prints(n, centres, flips, n)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    rows = sorted(simhash.variants(spark.createDataFrame([(s,) for s in signed], "p long"), "p").toPandas().itertuples(index=False))
+    rows = sorted(simhash.variants(spark.createDataFrame([(s,) for s in signed], "p long"), "p", most).toPandas().itertuples(index=False))
     import pyarrow as pa
 
     batches = [pa.RecordBatch.from_pydict({"key": [r.key for r in part], "side": [r.side for r in part], "print": [r.print for r in part]}) for part in (rows[i : i + 997] for i in range(0, len(rows), 997))]
-    edges = [e for b in simhash.link_runs(3)(iter(batches)) for e in zip(*[c.to_pylist() for c in b.columns])]
-    want = slow_components(prints)
+    edges = [e for b in simhash.link_runs(most)(iter(batches)) for e in zip(*[c.to_pylist() for c in b.columns])]
+    want = slow_components(prints, most)
     forest = simhash.Forest()
     for a, b in edges:
-        assert bin((a ^ b) & (1 << 64) - 1).count("1") <= 3
+        assert bin((a ^ b) & (1 << 64) - 1).count("1") <= most
         forest.link(a, b)
     groups = {}
     for i, s in enumerate(signed):
@@ -108,9 +154,60 @@ def test_components_of_a_chain_and_of_nothing(spark):
     assert none.count() == 0
 
 
-def test_more_bits_than_the_halves_cover_are_refused(spark):
-    # two bits apart in each half: neither half meets, whatever the limit
+def test_bits_that_segments_cannot_tell_apart_are_refused(spark):
+    # two bits apart in each half: neither half meets, but one of three segments does
     prints = spark.createDataFrame([(0,), (0b11 << 32 | 0b11,)], "p long")
-    with pytest.raises(ValueError, match="from 0 to 3"):
-        simhash.near_edges(prints, "p", 4)
     assert simhash.near_edges(prints, "p").count() == 0
+    assert simhash.near_edges(prints, "p", 4).count() == 1
+    for most in (-1, simhash.MOST_BITS + 1):
+        with pytest.raises(ValueError, match="most must be"):
+            simhash.near_edges(prints, "p", most)
+
+
+def copies(seed, families=30, least=1, most=12):
+    """Texts of random words, some of them edited copies of each other."""
+    rng = np.random.default_rng(seed)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    texts = []
+    for _ in range(families):
+        words = rng.choice(vocabulary, rng.integers(3, 120)).tolist()
+        for _ in range(rng.integers(least, most)):
+            own = list(words)
+            for _ in range(rng.integers(0, max(1, len(words) // 25) + 1)):
+                own[rng.integers(len(own))] = str(rng.choice(vocabulary))
+            texts.append(" ".join(own))
+            words = own if rng.random() < 0.3 else words
+    return texts
+
+
+@pytest.mark.parametrize("seed, group", [(1, 256), (2, 5)])
+def test_one_of_each_matches_brute_force(spark, monkeypatch, seed, group):
+    # small groups deal a family into blocks
+    monkeypatch.setattr(simhash, "GROUP_TEXTS", group)
+    texts = copies(seed) + ["", None, " \t", "a", "A", "a b", "x " * 9000, "x " * 9001]
+    want, _ = slow_groups(texts)
+    assert len(set(want)) < len(texts) - 40
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == sorted(set(want))
+
+
+def test_most_similar_pairs_are_found(spark, sf):
+    import os
+
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{os.path.dirname(sf)}/sf0.01/documents.parquet").collect())
+    want, pairs = slow_groups([t for _, t in rows])
+    met = sum(want[a] == want[b] for a, b in pairs)
+    assert len(pairs) > 50 and met >= 0.9 * len(pairs)
+    kept = {r.doc_id for r in simhash.one_of_each(spark.read.parquet(f"{os.path.dirname(sf)}/sf0.01/documents.parquet")).collect()}
+    assert kept == {rows[i][0] for i in set(want)}
+
+
+def test_one_of_each_with_clashing_names_nulls_and_repeats(spark):
+    shape = "doc_id long, text string, k int, s int, __k int, name int, d int, print int, row int, simhash int, n int, kept int"
+    rows = [(7, "a b c d e f"), (7, "a b c d e f"), (7, "other words stand in here now"), (None, "other words stand in here now"), (None, None), (None, ""), (None, "only without a key"), (None, "only without a key"), (2, "A b c d e f")]
+    df = spark.createDataFrame([(*r, *range(10)) for r in rows], shape)
+    kept = simhash.one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=str)
+    assert got == sorted([(2, "A b c d e f"), (7, "other words stand in here now"), (None, ""), (None, "only without a key")], key=str)
+    assert simhash.one_of_each(df.limit(0)).count() == 0
