@@ -112,3 +112,11 @@ def _q(name: str) -> str:
 def quoted(name: str) -> str:
     """A column name that holds even with dots in it."""
     return _q(name)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

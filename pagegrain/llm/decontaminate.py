@@ -6,14 +6,14 @@ by the upper size of its class. A text that contains the share ``threshold``
 of an item's n shingles misses at most ``n - ceil(threshold * n)`` of them, so
 of the k it holds at least k less that many: an item and a text with fewer hits
 need no look, and none that counts is lost. Candidates are verified by exact
-shingle containment over the whole text.
+containment of the shingles themselves, as strings, over the whole text.
 
 Only built-in functions run. Texts are lower-cased; words are runs of letters
 and digits; a shingle is ``width`` words, or all words of an item that has
 fewer, and then texts are cut into shingles of that length as well. Items and
 texts without words match nothing. Nulls count as empty. Equal items with
-equal ids count once. A text is told by its key and its hash, so repeated rows
-give one result and null keys are kept.
+equal ids count once. A text is told by its key and its SHA-256, so repeated
+rows give one result and null keys are kept.
 """
 
 from __future__ import annotations
@@ -44,15 +44,30 @@ def shingles(tokens: Column, width: int) -> Column:
     return F.when(F.size(tokens) >= width, F.array_distinct(hashed)).otherwise(F.array().cast("array<bigint>"))
 
 
+def shingle_texts(tokens: Column, width: int) -> Column:
+    """All distinct runs of ``width`` words, each in one string."""
+    joined = F.transform(F.sequence(F.lit(0), F.size(tokens) - width), lambda i: F.array_join(F.slice(tokens, i + 1, width), " "))
+    return F.when(F.size(tokens) >= width, F.array_distinct(joined)).otherwise(F.array().cast("array<string>"))
+
+
+def text_hash(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def item_table(items: DataFrame, key: str, text: str, width: int, threshold: float) -> DataFrame:
     """One row per item that has words: its shingles, signature and least hits."""
     named = items.select(F.col(quoted(key)).alias("item_id"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text")).distinct()
-    cut = named.select("item_id", F.xxhash64("item_id", "text").alias("item_key"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    chosen = F.lit(None).cast("array<bigint>")
-    for n in range(1, width):
-        chosen = F.when(F.size("w") == n, shingles(F.col("w"), n)).otherwise(chosen)
-    hashed = F.when(F.size("w") >= width, shingles(F.col("w"), width)).otherwise(chosen)
-    sized = cut.select("item_id", "item_key", F.least(F.size("w"), F.lit(width)).alias("width"), hashed.alias("shingles")).withColumn("n", F.size("shingles"))
+    cut = named.select("item_id", F.monotonically_increasing_id().alias("item_key"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
+
+    def own(cuts, kind: str) -> Column:
+        chosen = F.lit(None).cast(kind)
+        for n in range(1, width):
+            chosen = F.when(F.size("w") == n, cuts(F.col("w"), n)).otherwise(chosen)
+        return F.when(F.size("w") >= width, cuts(F.col("w"), width)).otherwise(chosen)
+
+    sized = cut.select(
+        "item_id", "item_key", F.least(F.size("w"), F.lit(width)).alias("width"), own(shingles, "array<bigint>").alias("shingles"), own(shingle_texts, "array<string>").alias("texts")
+    ).withColumn("n", F.size("texts"))
     # class c holds sizes from 2^c to 2^(c+1) - 1
     upper = F.pow(F.lit(2), F.floor(F.log2("n")) + 1) - 1
     misses = F.col("n") - F.ceil(F.col("n") * threshold)
@@ -86,26 +101,25 @@ def contaminated(
     table, _ = written(item_table(items, item_key, item_text, width, threshold), "benchmark-items")
     bound = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.collect_set("width").alias("widths")).first()
     rows, widths = bound["n"], sorted(bound["widths"])
-    body = docs.select(F.col(quoted(key)).alias("doc_key"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    cut = body.select("doc_key", "text_hash", words(F.col("text")).alias("w"))
-    parts = [shingles(F.col("w"), n) for n in widths] or [F.array().cast("array<bigint>")]
+    body = docs.select(F.col(quoted(key)).alias("doc_key"), text_hash(F.col(quoted(text))).alias("text_hash"), words(F.col(quoted(text))).alias("w"))
 
-    def spread(texts: DataFrame) -> DataFrame:
-        return texts.select("doc_key", "text_hash", F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("h"))
+    def spread(cuts, name: str, some: DataFrame) -> DataFrame:
+        parts = [cuts(F.col("w"), n) for n in widths] or [F.array().cast("array<bigint>")]
+        return some.select("doc_key", "text_hash", F.explode(F.concat(*parts) if len(parts) > 1 else parts[0]).alias(name))
 
     signature = _small(table.select("item_key", "k", "least_hits", F.explode("signature").alias("h")), rows)
     candidates, _ = written(
-        spread(cut).join(signature, "h").groupBy("doc_key", "text_hash", "item_key")
+        spread(shingles, "h", body).join(signature, "h").groupBy("doc_key", "text_hash", "item_key")
         .agg(F.count(F.lit(1)).alias("hits"), F.first("least_hits").alias("least_hits"))
         .where("hits >= least_hits").select("doc_key", "text_hash", "item_key"),
         "contamination-candidates",
     )
     held = candidates.select(F.col("doc_key").alias("k1"), F.col("text_hash").alias("k2")).distinct()
-    again = cut.join(held, cut["doc_key"].eqNullSafe(held["k1"]) & (cut["text_hash"] == held["k2"]), "left_semi")
-    every = _small(table.select("item_key", "item_id", "n", F.explode("shingles").alias("h")), rows)
+    again = body.join(held, body["doc_key"].eqNullSafe(held["k1"]) & (body["text_hash"] == held["k2"]), "left_semi")
+    every = _small(table.select("item_key", "item_id", "n", F.explode("texts").alias("s")), rows)
     matched = (
-        spread(again).join(every, "h").groupBy("doc_key", "text_hash", "item_key", "item_id", "n")
-        .agg(F.count_distinct("h").alias("matched")).where(F.col("matched") >= F.ceil(F.col("n") * threshold))
+        spread(shingle_texts, "s", again).join(every, "s").groupBy("doc_key", "text_hash", "item_key", "item_id", "n")
+        .agg(F.count_distinct("s").alias("matched")).where(F.col("matched") >= F.ceil(F.col("n") * threshold))
     )
     proven = candidates.select(F.col("doc_key").alias("k1"), F.col("text_hash").alias("k2"), F.col("item_key").alias("k3"))
     same = matched["doc_key"].eqNullSafe(proven["k1"]) & (matched["text_hash"] == proven["k2"]) & (matched["item_key"] == proven["k3"])
@@ -116,10 +130,10 @@ def contaminated(
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that contain no item, all columns kept."""
-    found, _ = written(contaminated(docs, items, key, text, **how).select("doc_key", "text_hash").distinct(), "contaminated")
-    tagged = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(quoted(text)), F.lit(""))))
-    match = tagged[quoted(key)].eqNullSafe(found["doc_key"]) & (tagged["__hash"] == found["text_hash"])
-    return tagged.join(found, match, "left_anti").drop("__hash")
+    found, _ = written(contaminated(docs, items, key, text, **how).select(F.col("doc_key").alias("k1"), F.col("text_hash").alias("k2")).distinct(), "contaminated")
+    row = F.struct(*[F.col(quoted(c)) for c in docs.columns])
+    told = docs.select(row.alias("row"), F.col(quoted(key)).alias("k"), text_hash(F.col(quoted(text))).alias("h"))
+    return told.join(found, F.col("k").eqNullSafe(F.col("k1")) & (F.col("h") == F.col("k2")), "left_anti").select("row.*")
 
 
 def oracle(width: int = WIDTH, threshold: float = THRESHOLD) -> str:

@@ -8,7 +8,8 @@ array, then become a constant of the scoring plan, which needs no shuffle.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
 lower-cased. Path: from there up to ``?``, ``#`` or the end. A null URL, or one
-without ``://``, has both empty and is judged by the bias alone. A rule fits
+without ``://``, has both empty and is judged by the bias alone. A score of
+zero blocks. Repeated rows are judged each for itself. A rule fits
 its host and all subdomains if the path starts with the rule's; the longest
 fitting rule wins over the regression.
 """
@@ -130,16 +131,14 @@ def judge(df: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RU
     """Adds host, path, rule, score (the regression's log-odds of block) and
     verdict to every row; input columns of those names are replaced."""
     weights = train(df.sparkSession, labelled_urls() if labelled is None else labelled)
+    made = ("host", "path", "rule", "score", "verdict")
+    kept = [c for c in df.columns if c.lower() not in made or c == url]
     at = F.col(quoted(url))
-    drop = [c for c in df.columns if c.lower() in ("host", "path", "rule", "score", "verdict") and c != url]
-    wide = df.drop(*drop).select("*", host_of(at).alias("__host"), path_of(at).alias("__path"))
-    wide = wide.select("*", rule_for(F.col("__host"), F.col("__path"), rules).alias("__rule"), score(weights, buckets(F.col("__host"), F.col("__path"))).alias("__score"))
-    kept = [F.col(quoted(c)) for c in df.columns if c not in drop]
-    by_method = F.when(F.col("__score") >= 0, "block").otherwise("allow")
-    return wide.select(
-        *kept, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule.rule").alias("rule"),
-        F.col("__score").alias("score"), F.coalesce("__rule.verdict", by_method).alias("verdict"),
-    )
+    # the input's columns ride in one struct, so that none clashes with one in between
+    cut = df.select(F.struct(*[F.col(quoted(c)) for c in kept]).alias("row"), host_of(at).alias("host"), path_of(at).alias("path"))
+    told = cut.select("*", rule_for(F.col("host"), F.col("path"), rules).alias("found"), score(weights, buckets(F.col("host"), F.col("path"))).alias("score"))
+    verdict = F.coalesce("found.verdict", F.when(F.col("score") >= 0, "block").otherwise("allow"))
+    return told.select("row.*", "host", "path", F.col("found.rule").alias("rule"), "score", verdict.alias("verdict"))
 
 
 def oracle() -> str:

@@ -57,7 +57,7 @@ def test_encoding_decodes(spark, sf, docs):
 
     rows = stage("byte_bpe")(spark, docs, sf).collect()
     assert len(rows) == len(texts)
-    for r in rows[::7]:
+    for r in rows:
         assert tree.decode(np.frombuffer(r.token_ids, "<u4")).decode() == texts[r.doc_id] and r.n_tokens * 4 == len(r.token_ids)
 
 
@@ -70,6 +70,14 @@ def test_awkward_rows_and_nothing(spark, sf):
         assert corpus_pipeline.STAGES[-1][1](spark, df, sf).count() == df.count() <= most
 
 
+def test_clashing_names(spark, sf):
+    shape = SCHEMA + ", toxicity double, __toxicity double, __hash long, h long, k1 long, k2 long, k long, s long, row string, __k long"
+    odd = spark.createDataFrame([(1, "fine words here", "en", "s", 3, 9.0, 9.0, 1, 2, 3, 4, 5, 6, "r", 7), (2, None, None, None, None, *[None] * 10)], shape)
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        kept = f(spark, odd, sf)
+        assert kept.columns == odd.columns and sorted(map(str, kept.collect())) == sorted(map(str, odd.collect())), name
+
+
 def test_run_applies_all_stages(spark, sf):
     assert {"doc_id", "n_tokens", "token_ids"} == set(corpus_pipeline.run(spark, sf).columns)
 
