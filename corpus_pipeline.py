@@ -12,19 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagegrain.llm import bpe, decontaminate, simhash, toxicity
-from pagegrain.llm.common import written
+from pagegrain.llm.common import free_name, remove, written
 from pagegrain.llm.queries import VOCABULARY
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose probability of being toxic is below one half."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.with_toxicity(docs, model, out="__toxicity").where("__toxicity < 0.5").drop("__toxicity")
+    score = free_name(docs, "toxicity")
+    return toxicity.with_toxicity(docs, model, out=score).where(F.col(score) < 0.5).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each group that SimHash links join, one row of the smallest
-    doc_id. Groups come from 3-word shingles and three differing bits."""
+    """Keeps one document of each group of near-duplicates, that of the smallest
+    doc_id: SimHash finds the candidates, five-word shingles decide."""
     return simhash.one_of_each(docs)
 
 
@@ -58,6 +59,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs, _ = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
