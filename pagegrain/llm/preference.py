@@ -4,8 +4,9 @@ A pair's conversations are aligned turn by turn. The turns before the first
 that differs are the prompt, rendered once; from there on each side's turns
 are its completion. Each rendered turn is one row with the span that counts in
 the loss: text and end mark of assistant turns in completions, nothing else.
-Rows instead of whole strings: a pair of any number of turns is never gathered.
-``assembled`` joins them into strings where conversations are known to be short.
+A pair of any number of turns is never gathered: ``assembled`` joins the rows to
+one prompt and two completions for every ``PIECE_TURNS`` turns of a pair, so a
+conversation of fewer turns is one row and a longer one has some, in order.
 
 Of several rows for one side, pair and turn the least (role, text) counts, so
 repeated rows count once. Null roles and texts count as empty, a null turn as
@@ -22,6 +23,7 @@ from pagegrain.llm.common import quoted
 
 OPEN, BREAK, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 ASSISTANT = "assistant"
+PIECE_TURNS = 512
 
 
 def _turns(side: DataFrame, name: str, pair: str, turn: str, role: str, text: str) -> DataFrame:
@@ -58,59 +60,67 @@ def formatted(chosen: DataFrame, rejected: DataFrame, pair: str = "conv_id", tur
 
 
 def assembled(rows: DataFrame) -> DataFrame:
-    """One row per pair: prompt, chosen and rejected strings and the spans of
-    both completions that count. For conversations of bounded length."""
-    turns = F.array_sort(F.collect_list(F.struct("turn", "rendered", "loss_from", "loss_to")))
-    packed = rows.groupBy("pair_id", "part").agg(turns.alias("turns"))
-    joined = packed.select(
-        "pair_id", "part", F.expr("array_join(transform(turns, t -> t.rendered), '')").alias("string"),
-        F.expr(
-            "filter(aggregate(turns, struct(0 AS at, CAST(array() AS array<struct<a: int, b: int>>) AS spans), "
+    """(pair_id, piece, prompt, chosen, rejected, chosen_loss, rejected_loss):
+    the strings of each piece of a pair and the spans of both completions that
+    count, in characters, in order. A null turn, which is -1, is in piece 0."""
+    entry = F.struct("part", "turn", "rendered", "loss_from", "loss_to")
+    piece = F.floor((F.col("turn") + 1) / PIECE_TURNS).alias("piece")
+    packed = rows.groupBy("pair_id", piece).agg(F.array_sort(F.collect_list(entry)).alias("turns"))
+
+    def string(part: str) -> Column:
+        return F.expr(f"array_join(transform(filter(turns, t -> t.part = '{part}'), t -> t.rendered), '')").alias(part)
+
+    def spans(part: str) -> Column:
+        return F.expr(
+            f"filter(aggregate(filter(turns, t -> t.part = '{part}'), struct(0 AS at, CAST(array() AS array<struct<a: int, b: int>>) AS spans), "
             "(s, t) -> struct(s.at + length(t.rendered) AS at, concat(s.spans, array(struct(s.at + t.loss_from AS a, s.at + t.loss_to AS b))) AS spans)).spans, x -> x.a IS NOT NULL)"
-        ).alias("spans"),
-    )
-    pick = lambda part, what: F.max(F.when(F.col("part") == part, F.col(what)))
-    return joined.groupBy("pair_id").agg(
-        *[F.coalesce(pick(p, "string"), F.lit("")).alias(p) for p in ("prompt", "chosen", "rejected")],
-        *[F.coalesce(pick(p, "spans"), F.array().cast("array<struct<a: int, b: int>>")).alias(f"{p}_loss") for p in ("chosen", "rejected")],
-    )
+        ).alias(f"{part}_loss")
 
+    return packed.select("pair_id", "piece", *[string(p) for p in ("prompt", "chosen", "rejected")], *[spans(p) for p in ("chosen", "rejected")])
 
-def echoed(turns: DataFrame, pair: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Rejected counterparts of conversations: the last assistant turn only
-    echoes what the turn before it said (empty if there is none). Conversations
-    without an assistant turn stay as they are."""
+
+def drafted(turns: DataFrame, pair: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """Rejected counterparts of conversations, which part from them at another
+    turn for each pair: by the pair's number modulo ``PARTINGS`` at turn 0, 1
+    and so on, or, for the last remainder and null pairs, nowhere. From there on
+    the assistant's texts are reversed, and at turn 0 all, up to ``MORE`` turns
+    later, where the counterpart ends."""
     p, t, r, x = (F.col(quoted(c)) for c in (pair, turn, role, text))
-    rows = turns.select(p.alias(pair), F.coalesce(t.cast("long"), F.lit(-1)).alias(turn), F.coalesce(r, F.lit("")).alias(role), F.coalesce(x, F.lit("")).alias(text))
-    last = rows.where(r == ASSISTANT).groupBy(p.alias("_p")).agg(F.max(t).alias("_last"))
-    before = (
-        rows.join(last, p.eqNullSafe(F.col("_p"))).where(t < F.col("_last")).groupBy("_p")
-        .agg(F.max(F.struct(t, F.struct(r, x))).alias("m")).select(F.col("_p").alias("_q"), F.col("m.col2." + text).alias("_echo"))
-    )
-    known = last.join(before, F.col("_p").eqNullSafe(F.col("_q")), "left").select("_p", "_last", F.coalesce("_echo", F.lit("")).alias("_echo"))
-    swap = (r == ASSISTANT) & (t == F.col("_last"))
-    return rows.join(known, p.eqNullSafe(F.col("_p")), "left").select(p, t, r, F.when(swap, F.col("_echo")).otherwise(x).alias(text))
+    begin = F.pmod(p.cast("long"), F.lit(PARTINGS))
+    parts = (begin < PARTINGS - 1) & (F.coalesce(t.cast("long"), F.lit(-1)) >= begin)
+    worse = F.when(F.coalesce(parts & ((r == ASSISTANT) | (begin == 0)), F.lit(False)), F.reverse(x)).otherwise(x)
+    ends = F.coalesce((begin < PARTINGS - 1) & (t.cast("long") > begin + MORE), F.lit(False))
+    return turns.where(~ends).select(p.alias(pair), t.alias(turn), r.alias(role), worse.alias(text))
+
+
+#: Of ``drafted``: how many ways to part there are, and turns that follow.
+PARTINGS, MORE = 7, 3
+
+
+def loss_text(spans: Column) -> Column:
+    """Spans as text, such as ``3-17,40-62``."""
+    return F.array_join(F.transform(spans, lambda s: F.concat(s["a"].cast("string"), F.lit("-"), s["b"].cast("string"))), ",")
 
 
 def oracle() -> str:
     """DuckDB SQL of the query over ``conversations``."""
     open_, close = OPEN, CLOSE.replace("\n", "' || chr(10) || '")
+    sides = ", ".join(f"coalesce(string_agg(rendered, '' ORDER BY turn) FILTER (WHERE part = '{p}'), '') AS {p}" for p in ("prompt", "chosen", "rejected"))
+    spans = ", ".join(f"coalesce(string_agg(span, ',' ORDER BY turn) FILTER (WHERE part = '{p}'), '') AS {p}_loss" for p in ("chosen", "rejected"))
     return f"""
-WITH t AS (SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
-l AS (SELECT conv_id, max(turn) AS last FROM t WHERE role = '{ASSISTANT}' GROUP BY conv_id),
-e AS (SELECT l.conv_id, max((t.turn, (t.role, t.text)))[2][2] AS echo FROM l JOIN t ON t.conv_id IS NOT DISTINCT FROM l.conv_id AND t.turn < l.last GROUP BY l.conv_id),
-r AS (SELECT t.conv_id, t.turn, t.role, CASE WHEN t.role = '{ASSISTANT}' AND t.turn = l.last THEN coalesce(e.echo, '') ELSE t.text END AS text
-      FROM t LEFT JOIN l ON t.conv_id IS NOT DISTINCT FROM l.conv_id LEFT JOIN e ON t.conv_id IS NOT DISTINCT FROM e.conv_id),
-c1 AS (SELECT conv_id, turn, min((role, text)) AS s FROM t GROUP BY ALL),
-r1 AS (SELECT conv_id, turn, min((role, text)) AS s FROM r GROUP BY ALL),
-a AS (SELECT c1.conv_id, c1.turn, c1.s AS c, r1.s AS r FROM c1 JOIN r1 ON c1.conv_id IS NOT DISTINCT FROM r1.conv_id AND c1.turn = r1.turn),
+WITH t AS (SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text, ((conv_id % {PARTINGS}) + {PARTINGS}) % {PARTINGS} AS begin FROM conversations),
+r AS (SELECT conv_id, turn, role, CASE WHEN begin < {PARTINGS - 1} AND turn >= begin AND (role = '{ASSISTANT}' OR begin = 0) THEN reverse(text) ELSE text END AS text
+      FROM t WHERE coalesce(NOT (begin < {PARTINGS - 1} AND turn > begin + {MORE}), true)),
+c1 AS (SELECT conv_id, turn, min((role, text)) AS c FROM t GROUP BY ALL),
+r1 AS (SELECT conv_id, turn, min((role, text)) AS r FROM r GROUP BY ALL),
+a AS (SELECT c1.conv_id, c1.turn, c, r FROM c1 LEFT JOIN r1 ON c1.conv_id IS NOT DISTINCT FROM r1.conv_id AND c1.turn = r1.turn),
 k AS (SELECT conv_id, min(turn) FILTER (WHERE c IS DISTINCT FROM r) AS cut FROM a GROUP BY conv_id),
 p AS (SELECT a.conv_id, a.turn, unnest(CASE WHEN cut IS NULL OR a.turn < cut THEN ['prompt'] ELSE ['chosen', 'rejected'] END) AS part, c, r
       FROM a JOIN k ON a.conv_id IS NOT DISTINCT FROM k.conv_id),
 s AS (SELECT conv_id, turn, part, CASE WHEN part = 'rejected' THEN r ELSE c END AS s FROM p),
-h AS (SELECT *, '{open_}' || s[1] || chr(10) AS head, part <> 'prompt' AND s[1] = '{ASSISTANT}' AS counts FROM s)
-SELECT conv_id AS pair_id, part, turn, s[1] AS role, head || s[2] || '{close}' AS rendered,
-  CASE WHEN counts THEN CAST(length(head) AS INTEGER) END AS loss_from,
-  CASE WHEN counts THEN CAST(length(head) + length(s[2]) + {len(CLOSE)} AS INTEGER) END AS loss_to
-FROM h
+h AS (SELECT *, '{open_}' || s[1] || chr(10) AS head, CAST(floor((turn + 1) / {PIECE_TURNS}) AS BIGINT) AS piece FROM s WHERE s IS NOT NULL),
+m AS (SELECT conv_id, piece, turn, part, s, length(head) AS head, head || s[2] || '{close}' AS rendered FROM h),
+w AS (SELECT *, coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, piece, part ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM m),
+x AS (SELECT *, CASE WHEN s[1] = '{ASSISTANT}' THEN CAST(upto + head AS VARCHAR) || '-' || CAST(upto + length(rendered) AS VARCHAR) END AS span FROM w)
+SELECT conv_id AS pair_id, piece, {sides}, {spans} FROM x GROUP BY conv_id, piece
 """

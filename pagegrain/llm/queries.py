@@ -43,9 +43,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation against its counterpart with an echoed last answer."""
+    """Every conversation against a counterpart that parts from it early, late
+    or not at all: one prompt and a pair of completions with what counts."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return preference.formatted(turns, preference.echoed(turns))
+    pairs = preference.assembled(preference.formatted(turns, preference.drafted(turns)))
+    spans = [preference.loss_text(F.col(c)).alias(c) for c in ("chosen_loss", "rejected_loss")]
+    return pairs.select("pair_id", "piece", "prompt", "chosen", "rejected", *spans)
 
 
 def op5_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:

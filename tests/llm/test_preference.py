@@ -66,7 +66,38 @@ def test_nulls_repeats_one_side_and_nothing(spark):
     assert got(spark, [], []) == {}
 
 
-def test_echo(spark):
-    turns = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "q2"), (1, 3, "assistant", "a2"), (2, 0, "assistant", "first"), (3, 0, "user", "alone"), (None, 0, "user", "k"), (None, 2, "assistant", "v")]
-    rows = {(r.conv_id, r.turn): r.text for r in preference.echoed(spark.createDataFrame(turns, TURN)).collect()}
-    assert rows == {(1, 0): "q", (1, 1): "a", (1, 2): "q2", (1, 3): "q2", (2, 0): "", (3, 0): "alone", (None, 0): "k", (None, 2): "k"}
+def test_drafts_part_at_every_turn_and_nowhere(spark):
+    turns = [(key, t, "user" if t % 2 == 0 else "assistant", f"turn {t} of {key}") for key in range(14) for t in range(8)]
+    turns += [(None, 0, "user", "no key"), (None, 1, "assistant", "still none"), (21, None, "assistant", "no turn")]
+    rejected = [tuple(r) for r in preference.drafted(spark.createDataFrame(turns, TURN)).collect()]
+    by = {k: {t: x for c, t, _, x in rejected if c == k} for k in [*range(14), None, 21]}
+    for key in range(14):
+        begin = key % preference.PARTINGS
+        own = {t: x for c, t, _, x in turns if c == key}
+        if begin == preference.PARTINGS - 1:
+            assert by[key] == own
+            continue
+        assert max(by[key]) == min(7, begin + preference.MORE)
+        assert all((by[key][t] != own[t]) == (t >= begin and (t % 2 == 1 or begin == 0)) for t in by[key])
+    assert by[None] == {0: "no key", 1: "still none"} and by[21] == {None: "no turn"}
+    assert got(spark, turns, rejected) == slow(turns, rejected)
+
+
+def test_long_texts_and_long_conversations_come_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(preference, "PIECE_TURNS", 4)
+    turns = [(1, t, ["user", "assistant"][t % 2], "x" * (200_000 if t == 5 else t)) for t in range(11)]
+    worse = [(k, t, r, x + "!" if t >= 6 else x) for k, t, r, x in turns]
+    rows = preference.assembled(preference.formatted(spark.createDataFrame(turns, TURN), spark.createDataFrame(worse, TURN))).orderBy("piece").collect()
+    whole = slow(turns, worse)[1]
+    assert [r.piece for r in rows] == [0, 1, 2]
+    assert ("".join(r.prompt for r in rows), "".join(r.chosen for r in rows), "".join(r.rejected for r in rows)) == (whole[0], whole[1], whole[3])
+    cut = lambda name: [getattr(r, name)[a:b] for r in rows for a, b in getattr(r, name + "_loss")]
+    assert cut("chosen") == [whole[1][a:b] for a, b in whole[2]] and cut("rejected") == [whole[3][a:b] for a, b in whole[4]]
+
+
+def test_clashing_names(spark):
+    more = ", pair_id long, c string, r string, side string, part string, cut long, piece int"
+    rows = [(1, 0, "user", "q", 9, "c", "r", "s", "p", 3, 4), (1, 1, "assistant", "a", 9, "c", "r", "s", "p", 3, 4)]
+    df = spark.createDataFrame(rows, TURN + more)
+    pair = preference.assembled(preference.formatted(df, preference.drafted(df))).collect()
+    assert [(r.pair_id, r.prompt, r.chosen_loss) for r in pair] == [(1, "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\na<|im_end|>\n", [])]
