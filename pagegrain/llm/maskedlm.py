@@ -9,13 +9,19 @@ symbol has that symbol's probability times its share of the symbol's count,
 from the counts of all words, which are joined in Spark; one count of each
 symbol is kept for the words that were never seen.
 
-Training is numpy on the executors: in each of ``ROUNDS`` rounds every task
-starts from the same parameters, masks its round's share of the positions of
-all its texts and fits them. Positions are dealt to ``MASK`` groups and these
-to the rounds, so together the rounds mask every position once (more than
-``MASK`` rounds begin again). The parameters' mean, weighted by
-examples and summed in whole numbers so that order doesn't matter, is the next
-round's start. What leaves a task is the model's size, whatever the text.
+Training is numpy on the executors. Texts, as symbols, are dealt by their own
+hash into groups of about ``GROUP_TOKENS``, copies evenly over all groups, and
+stand in each in the order of their hash, so neither the input's order nor its
+partitions matter. In each of ``ROUNDS`` rounds every group starts from the same
+parameters, masks its round's share of the positions of all its texts and fits
+them. Positions are dealt to ``MASK`` shares and these to the rounds, so together
+the rounds mask every position once (more than ``MASK`` rounds begin again). The
+parameters' mean, weighted by examples and summed in whole numbers, is the next
+round's start. What leaves a group is the model's size, whatever the text.
+
+A text of the corpus itself is scored as the rest of the corpus has it: its own
+occurrences of a word don't count towards that word's share, so words that stand
+in no other text have ``UNSEEN`` of a count, however often this one repeats them.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-
 cased. Texts without words, nulls among them, score 0 with a null mean.
@@ -32,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
-from pagegrain.llm.common import map_columns, quoted, slices, written
+from pagegrain.llm.common import map_columns, quoted, remove, slices, written
 from pagegrain.llm.wordhash import word_hashes
 
 SIDE = 2
@@ -49,6 +55,8 @@ RATE = 0.2
 CHUNK = 1 << 14
 SCALE = 1 << 16
 SHARE_SCALE = 1 << 24
+GROUP_TOKENS = 1 << 20
+UNSEEN = 1 / 64
 
 _SHAPES = {
     "window": (2 * SIDE, SYMBOLS, WIDTH), "lift": (WIDTH,), "class_of": (WIDTH, CLASSES), "class_bias": (CLASSES,),
@@ -63,12 +71,13 @@ def words(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 class Vocabulary:
     """Symbol 0 is the space beyond a text's ends, then come shared symbols,
-    then those of ``own``, the hashes of the most frequent words. ``shares``
-    is the driver's table of the other words' shares of their symbols."""
+    then those of ``own``, the hashes of the most frequent words. ``counts``
+    and ``wholes`` are the driver's tables of the other words' counts, (word,
+    n), and of what all words of a symbol count and one more, (symbol, whole)."""
 
-    def __init__(self, own: Sequence[int], shares: DataFrame | None = None) -> None:
-        self.own, self.shares = list(own), shares
-        # a table on the top bits finds a word's only candidate; where two meet, the more frequent
+    def __init__(self, own: Sequence[int], counts: DataFrame | None = None, wholes: DataFrame | None = None) -> None:
+        self.own, self.counts, self.wholes = list(own), counts, wholes
+        # a table on the top bits finds a word's only candidate
         self._hash = np.zeros(SYMBOLS, np.uint64)
         self._hash[SHARED + 1 : SHARED + 1 + len(self.own)] = self.own
         self._at = np.zeros(1 << TABLE_BITS, np.int16)
@@ -76,7 +85,7 @@ class Vocabulary:
             self._at[int(self._hash[symbol]) >> 64 - TABLE_BITS] = symbol
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"shares": None}
+        return self.__dict__ | {"counts": None, "wholes": None}
 
     def ids(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' symbols, in order, and each text's count."""
@@ -161,20 +170,21 @@ def log_probabilities(p: Parameters, context: np.ndarray, target: np.ndarray) ->
     return out
 
 
-def slopes(p: Parameters, context: np.ndarray, target: np.ndarray) -> Parameters:
-    """Gradient of the mean negative log-probability."""
+def slopes(p: Parameters, context: np.ndarray, target: np.ndarray, weight: np.ndarray | None = None) -> Parameters:
+    """Gradient of the weighted mean negative log-probability."""
     n, g = len(target), {k: np.zeros(s, np.float32) for k, s in _SHAPES.items()}
+    part = (np.full(n, 1 / n) if weight is None else weight / weight.sum()).astype(p["lift"].dtype)[:, None]
     h = np.tanh(p["lift"] + sum(p["window"][k][context[k]] for k in range(2 * SIDE)))
     kind, member = target // MEMBERS, target % MEMBERS
     d = _softmax(h @ p["class_of"] + p["class_bias"])
     d[np.arange(n), kind] -= 1
-    d /= n
+    d *= part
     g["class_of"], g["class_bias"] = h.T @ d, d.sum(0)
     back = d @ p["class_of"].T
     for k, rows in _runs(kind):
         d = _softmax(h[rows] @ p["member_of"][k] + p["member_bias"][k])
         d[np.arange(len(rows)), member[rows]] -= 1
-        d /= n
+        d *= part[rows]
         g["member_of"][k], g["member_bias"][k] = h[rows].T @ d, d.sum(0)
         back[rows] += d @ p["member_of"][k].T
     back *= 1 - h**2
@@ -222,65 +232,118 @@ def _symbol(word: Column) -> Column:
     return (word.bitwiseAND(F.lit(SHARED - 1)) + 1).cast("int")
 
 
-def _shares(counts: DataFrame, top: DataFrame) -> DataFrame:
-    """(word, share, symbol): for every word without its own symbol the scaled
-    logarithm of its share; with a null word, each shared symbol's floor."""
-    spark = counts.sparkSession
-    others = counts.join(F.broadcast(top), "word", "left_anti").withColumn("symbol", _symbol(F.col("word")))
-    held = others.groupBy("symbol").agg(F.sum("n").alias("held"))
-    every = spark.range(1, SHARED + 1).select(F.col("id").cast("int").alias("symbol")).join(held, "symbol", "left").select("symbol", (F.coalesce("held", F.lit(0)) + 1).alias("whole"))
-    every, _ = written(every, "symbol-counts")
-    seen = others.join(F.broadcast(every), "symbol").select("word", _scaled(F.col("n") / F.col("whole")).alias("share"), "symbol")
-    floors = every.select(F.lit(None).cast("long").alias("word"), _scaled(1 / F.col("whole")).alias("share"), "symbol")
-    return written(seen.unionByName(floors), "word-shares")[0]
-
-
 def vocabulary(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, np.ndarray]:
-    """The vocabulary, with the shares of all other words, and each symbol's count, from every text."""
-    counts, _ = written(
+    """The vocabulary, with the counts of all other words, and each symbol's count, from every text."""
+    spark = docs.sparkSession
+    counts, counts_at = written(
         docs.select(F.col(quoted(text)).alias("t")).mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts"
     )
-    top = counts.orderBy(F.desc("n"), "word").limit(SYMBOLS - SHARED - 1).collect()  # bounded by the vocabulary
+    top, taken = [], set()
+    for r in counts.orderBy(F.desc("n"), "word").limit(SYMBOLS - SHARED - 1).collect():  # bounded by the vocabulary
+        # of words that one place of the table would have to hold, the rarer stays shared
+        if (place := r["word"] % (1 << 64) >> 64 - TABLE_BITS) not in taken:
+            taken.add(place)
+            top.append(r)
     frequency = np.zeros(SYMBOLS)
     frequency[SHARED + 1 : SHARED + 1 + len(top)] = [r["n"] for r in top]
-    rest = (counts.agg(F.sum("n").alias("n")).first()["n"] or 0) - frequency.sum()
-    frequency[1 : SHARED + 1] = rest / SHARED
-    own = docs.sparkSession.createDataFrame([(r["word"],) for r in top], "word long")
-    return Vocabulary([r["word"] % (1 << 64) for r in top], _shares(counts, own)), frequency
+    own = spark.createDataFrame([(r["word"],) for r in top], "word long")
+    others, _ = written(counts.join(F.broadcast(own), "word", "left_anti"), "shared-words")
+    held = others.groupBy(_symbol(F.col("word")).alias("symbol")).agg(F.sum("n").alias("held"))
+    every = spark.range(1, SHARED + 1).select(F.col("id").cast("int").alias("symbol")).join(held, "symbol", "left")
+    wholes, _ = written(every.select("symbol", (F.coalesce("held", F.lit(0)) + 1).alias("whole")), "symbol-counts")
+    frequency[1 : SHARED + 1] = wholes.agg(F.sum(F.col("whole") - 1)).first()[0] / SHARED
+    remove(spark, counts_at)
+    return Vocabulary([r["word"] % (1 << 64) for r in top], others, wholes), frequency
 
 
-def _train(values: np.ndarray, known: Vocabulary, turn: int, rounds: int):
-    """Arrow map from texts to (place, sum): the task's parameters times its examples."""
+def _symbols(known: Vocabulary):
+    """Arrow map from texts to (symbols, n): each text's symbols, packed, and
+    how often it is one of its slice's texts; texts without words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = unflat(values)
-        squares = {k: np.full(s, 1e-6, np.float32) for k, s in _SHAPES.items()}
-        seen, held, waiting = 0, [], 0
+        for batch in batches:
+            for part in slices(batch, "t"):
+                ids, sizes = known.ids(part.column(0).to_pylist())
+                ends = np.cumsum(sizes)
+                counts: dict[bytes, int] = {}
+                for a, b in zip((ends - sizes).tolist(), ends.tolist()):
+                    if a < b:
+                        packed = ids[a:b].astype("<u2").tobytes()
+                        counts[packed] = counts.get(packed, 0) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["symbols", "n"])
+
+    return run
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (group, weight, symbols) in order to one row a group: the symbols,
+    sizes and weights of its texts."""
+    now, held = None, []
+
+    def row() -> pa.RecordBatch:
+        sizes = np.array([len(x) // 2 for x, _ in held], np.int64)
+        weights = np.array([w for _, w in held], np.int64)
+        columns = [pa.array([x], pa.binary()) for x in (b"".join(x for x, _ in held), sizes.tobytes(), weights.tobytes())]
+        return pa.RecordBatch.from_arrays(columns, names=["symbols", "sizes", "weights"])
+
+    for batch in batches:
+        for group, weight, symbols in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if group != now:
+                if held:
+                    yield row()
+                now, held = group, []
+            held.append((symbols, weight))
+    if held:
+        yield row()
+
+
+def groups(docs: DataFrame, known: Vocabulary, text: str = "text") -> tuple[DataFrame, str]:
+    """Written table of the training groups and its path."""
+    spark = docs.sparkSession
+    made = docs.select(F.col(quoted(text)).alias("t")).mapInArrow(_symbols(known), "symbols binary, n long")
+    texts, texts_at = written(made.groupBy("symbols").agg(F.sum("n").alias("n")), "symbols")
+    tokens = texts.agg(F.sum(F.col("n").cast("double") * F.octet_length("symbols") / 2)).first()[0] or 0
+    count = max(1, int(-(-tokens // GROUP_TOKENS)))
+    key = F.xxhash64("symbols")
+    turn = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("n"), F.lit(count)) - 1))
+    dealt = texts.select("symbols", "n", key.alias("h"), turn.alias("turn")).select(
+        F.pmod(F.col("h") + F.col("turn"), F.lit(count)).alias("group"),
+        (F.floor(F.col("n") / count) + (F.col("turn") < F.col("n") % count).cast("long")).alias("weight"), "symbols", "h",
+    )
+    sorted_ = dealt.repartition(count, "group").sortWithinPartitions("group", "h", "symbols").select("group", "weight", "symbols")
+    packed = written(sorted_.mapInArrow(_pack, "symbols binary, sizes binary, weights binary"), "training-groups")
+    remove(spark, texts_at)
+    return packed
+
+
+def fit_group(values: np.ndarray, ids: np.ndarray, sizes: np.ndarray, weights: np.ndarray, turn: int, rounds: int) -> tuple[np.ndarray, float]:
+    """Parameters after a group's share of a round, and how much they weigh."""
+    p = unflat(values)
+    squares = {k: np.full(s, 1e-6, np.float32) for k, s in _SHAPES.items()}
+    context, target, text = windows(ids, sizes, turn, rounds)
+    weight = weights[text].astype(np.float64)
+    for at in range(0, len(target), BATCH):
+        part = slice(at, at + BATCH)
+        for k, g in slopes(p, context[:, part], target[part], weight[part]).items():
+            squares[k] += g * g
+            p[k] -= RATE * g / np.sqrt(squares[k])
+    return flat(p), float(weight.sum())
 
-        def step(c: np.ndarray, t: np.ndarray) -> None:
-            for k, g in slopes(p, c, t).items():
-                squares[k] += g * g
-                p[k] -= RATE * g / np.sqrt(squares[k])
 
+def _train(values: np.ndarray, turn: int, rounds: int):
+    """Arrow map from groups to (place, sum): their parameters times their weight."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "t"):
-                c, t, _ = windows(*known.ids(part.column(0).to_pylist()), turn, rounds)
-                held.append((c, t))
-                waiting += len(t)
-                seen += len(t)
-                if waiting >= BATCH:
-                    cs, ts = np.concatenate([x for x, _ in held], axis=1), np.concatenate([x for _, x in held])
-                    whole = len(ts) // BATCH * BATCH
-                    for i in range(0, whole, BATCH):
-                        step(cs[:, i : i + BATCH], ts[i : i + BATCH])
-                    held, waiting = [(cs[:, whole:], ts[whole:])], len(ts) - whole
-        if waiting:
-            step(np.concatenate([x for x, _ in held], axis=1), np.concatenate([x for _, x in held]))
-        if seen:
-            total = np.rint(np.append(flat(p).astype(np.float64), 1.0) * seen * SCALE).astype(np.int64)
-            for at in range(0, len(total), 10_000):
-                some = total[at : at + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(some), dtype=np.int32)), pa.array(some)], names=["place", "total"])
+            for symbols, sizes, weights in zip(*(batch.column(i) for i in range(3))):
+                ids = np.frombuffer(symbols.as_py(), "<u2").astype(np.int64)
+                fitted, weight = fit_group(values, ids, np.frombuffer(sizes.as_py(), np.int64), np.frombuffer(weights.as_py(), np.int64), turn, rounds)
+                if not weight:
+                    continue
+                total = np.rint(np.append(fitted.astype(np.float64), 1.0) * weight * SCALE).astype(np.int64)
+                for at in range(0, len(total), 10_000):
+                    some = total[at : at + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(some), dtype=np.int32)), pa.array(some)], names=["place", "total"])
 
     return run
 
@@ -289,22 +352,22 @@ def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Vo
     """The vocabulary and the network's parameters, trained on every text."""
     known, frequency = vocabulary(docs, text)
     values = flat(start(frequency))
-    texts = docs.select(F.col(quoted(text)).alias("t"))
+    packed, packed_at = groups(docs, known, text)
     for turn in range(rounds):
-        sums = texts.mapInArrow(_train(values, known, turn, rounds), "place int, total long").groupBy("place").agg(F.sum("total").alias("total")).toArrow()
+        sums = packed.mapInArrow(_train(values, turn, rounds), "place int, total long").groupBy("place").agg(F.sum(F.col("total").cast("double")).alias("total")).toArrow()
         if not sums.num_rows:
-            break
-        place, total = sums.column("place").to_numpy(), sums.column("total").to_numpy()
+            continue
         means = np.empty(len(values) + 1)
-        means[place] = total
+        means[sums.column("place").to_numpy()] = sums.column("total").to_numpy()
         values = (means[:-1] / means[-1]).astype(np.float32)
+    remove(docs.sparkSession, packed_at)
     return known, values
 
 
 def _shared_words(known: Vocabulary):
     """Arrow map from (key, t) to (key, word, n, copies): how often each word
-    without its own symbol occurs in a slice's texts of one key, and, in one
-    row of each key, with a null word, the number of those texts."""
+    without its own symbol occurs in a text, for each text of a slice and the
+    number of its copies there; and a row of each text with a null word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,12 +380,12 @@ def _shared_words(known: Vocabulary):
                 order = np.lexsort((h, text))
                 h, text = h[order], text[order]
                 begin = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1]))) if len(h) else np.empty(0, np.int64)
-                n = np.diff(np.append(begin, len(h))) * copies[text[begin]]
+                n = np.diff(np.append(begin, len(h)))
                 nulls = pa.nulls(len(keys), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate((keys[text[begin]], keys))), pa.concat_arrays([pa.array(h[begin].view(np.int64)), nulls]),
-                        pa.array(np.concatenate((n, np.zeros(len(keys), np.int64)))), pa.array(np.concatenate((np.zeros(len(n), np.int64), copies))),
+                        pa.array(np.concatenate((n, np.zeros(len(keys), np.int64)))), pa.array(np.concatenate((copies[text[begin]], copies))),
                     ],
                     names=["key", "word", "n", "copies"],
                 )
@@ -330,20 +393,26 @@ def _shared_words(known: Vocabulary):
     return run
 
 
-def _share_sums(texts: DataFrame, known: Vocabulary) -> DataFrame:
+def _share_sums(texts: DataFrame, known: Vocabulary, of_corpus: bool) -> DataFrame:
     """(__same, __within): for every key the summed logarithms of the shares that
     the words of one of its equal texts have of their symbols."""
     rows = texts.mapInArrow(_shared_words(known), "key long, word long, n long, copies long")
-    table = known.shares.where("word IS NOT NULL").select(F.col("word").alias("w"), "share").hint("shuffle_hash")
-    floors = known.shares.where("word IS NULL").select(F.col("symbol").alias("s"), F.col("share").alias("floor"))
-    said = rows.join(table, F.col("word") == F.col("w"), "left").join(F.broadcast(floors), _symbol(F.col("word")) == F.col("s"), "left")
-    each = F.coalesce(F.col("n") * F.coalesce("share", "floor"), F.lit(0))
-    return said.groupBy(F.col("key").alias("__same")).agg((F.sum(each) / F.sum("copies") / SHARE_SCALE).alias("__within"))
-
-
-def with_pseudo_likelihood(df: DataFrame, known: Vocabulary, values: np.ndarray, text: str = "text") -> DataFrame:
+    table = known.counts.select(F.col("word").alias("w"), F.col("n").alias("held")).hint("shuffle_hash")
+    wholes = known.wholes.select(F.col("symbol").alias("s"), "whole")
+    said = rows.join(table, F.col("word") == F.col("w"), "left").join(F.broadcast(wholes), _symbol(F.col("word")) == F.col("s"), "left")
+    if of_corpus:
+        share = F.greatest(F.coalesce("held", F.lit(0)) - F.col("n"), F.lit(UNSEEN)) / (F.col("whole") - F.col("n"))
+    else:
+        share = F.coalesce("held", F.lit(1)) / F.col("whole")
+    each = F.coalesce(F.col("copies") * F.col("n") * _scaled(share), F.lit(0))
+    number = F.sum(F.when(F.col("word").isNull(), F.col("copies")))
+    return said.groupBy(F.col("key").alias("__same")).agg((F.sum(each) / number / SHARE_SCALE).alias("__within"))
+
+
+def with_pseudo_likelihood(df: DataFrame, known: Vocabulary, values: np.ndarray, text: str = "text", of_corpus: bool = False) -> DataFrame:
     """Adds n_tokens, pll (the sum of log-probabilities of all tokens) and
-    pll_mean; input columns of those names are replaced."""
+    pll_mean; input columns of those names are replaced. ``of_corpus``: the
+    texts are those of the corpus, each as often as there."""
 
     def make():
         p = unflat(values)
@@ -358,7 +427,7 @@ def with_pseudo_likelihood(df: DataFrame, known: Vocabulary, values: np.ndarray,
     key = F.xxhash64(F.coalesce(F.col(quoted(text)), F.lit("")))
     scored = map_columns(df.withColumn("__key", key), [text], [("n_tokens", LongType(), pa.int64()), ("pll", DoubleType(), pa.float64())], make, weigh=text)
     pll = F.col("pll")
-    if known.shares is not None:
-        sums = _share_sums(df.select(key.alias("key"), F.col(quoted(text)).alias("t")), known)
+    if known.counts is not None:
+        sums = _share_sums(df.select(key.alias("key"), F.col(quoted(text)).alias("t")), known, of_corpus)
         scored = scored.join(sums, F.col("__key") == F.col("__same"), "left").withColumn("pll", pll + F.coalesce("__within", F.lit(0.0))).drop("__same", "__within")
     return scored.drop("__key").withColumn("pll_mean", F.when(F.col("n_tokens") > 0, pll / F.col("n_tokens")))

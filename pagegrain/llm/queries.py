@@ -54,7 +54,7 @@ def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     known, values = maskedlm.train(docs)
-    return maskedlm.with_pseudo_likelihood(docs, known, values).select("doc_id", "n_tokens", "pll", "pll_mean")
+    return maskedlm.with_pseudo_likelihood(docs, known, values, of_corpus=True).select("doc_id", "n_tokens", "pll", "pll_mean")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

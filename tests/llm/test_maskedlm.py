@@ -151,3 +151,93 @@ def test_the_querys_own_rounds_beat_frequencies(spark, sf):
     _, frequency = lm.vocabulary(seen)
     total = lambda v: lm.with_pseudo_likelihood(other, known, v).agg({"pll": "sum"}).first()[0]
     assert total(values) > total(lm.flat(lm.start(frequency)))
+
+
+def slow_query(texts):
+    """The query's results in one process: one group, one step after another."""
+    counts = {}
+    for h in lm.words(texts)[0].tolist():
+        counts[h] = counts.get(h, 0) + 1
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    top, places = [], set()
+    for h in sorted(counts, key=lambda h: (-counts[h], signed(h)))[: lm.SYMBOLS - lm.SHARED - 1]:
+        if h >> 64 - lm.TABLE_BITS not in places:
+            places.add(h >> 64 - lm.TABLE_BITS)
+            top.append(h)
+    symbol = lambda h: top.index(h) + lm.SHARED + 1 if h in top else h % lm.SHARED + 1
+    said = [lm.words([t])[0].tolist() for t in texts]
+    held = [0] * (lm.SHARED + 1)
+    for h, n in counts.items():
+        if h not in top:
+            held[h % lm.SHARED + 1] += n
+    frequency = np.zeros(lm.SYMBOLS)
+    frequency[1 : lm.SHARED + 1] = sum(held) / lm.SHARED
+    frequency[lm.SHARED + 1 : lm.SHARED + 1 + len(top)] = [counts[h] for h in top]
+    distinct = {}
+    for s in said:
+        if s:
+            distinct[tuple(map(symbol, s))] = distinct.get(tuple(map(symbol, s)), 0) + 1
+    return top, symbol, said, counts, held, frequency, distinct
+
+
+def test_the_query_matches_a_slow_version(spark, tmp_path):
+    from pagegrain.llm.queries import op5_masked_pseudo_likelihood
+
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.4, rng.integers(1, 60)) if x < 5000) for _ in range(120)]
+    texts += texts[:30] + [None, "", "unique words only here", "twice said words", "twice said words", "long " * 3000]
+    top, symbol, said, counts, held, frequency, distinct = slow_query(texts)
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    packed = {s: np.array(s, "<u2").tobytes() for s in distinct}
+    hashes = spark.createDataFrame([(bytearray(b),) for b in packed.values()], "s binary").selectExpr("s", "xxhash64(s) AS h").collect()
+    order = {bytes(r.s): (r.h, bytes(r.s)) for r in hashes}
+    ordered = sorted(distinct, key=lambda s: order[packed[s]])
+    values = lm.flat(lm.start(frequency))
+    ids, sizes, weights = np.concatenate([np.array(s) for s in ordered]), np.array([len(s) for s in ordered]), np.array([distinct[s] for s in ordered])
+    for turn in range(lm.ROUNDS):
+        values, _ = lm.fit_group(values, ids, sizes, weights, turn, lm.ROUNDS)
+    p = lm.unflat(values)
+    got = {r.doc_id: r for r in op5_masked_pseudo_likelihood(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, s in enumerate(said):
+        own = [symbol(h) for h in s]
+        line = [0] * lm.SIDE + own + [0] * lm.SIDE
+        want = sum(slow_log(p, line[j : j + lm.SIDE] + line[j + lm.SIDE + 1 : j + 2 * lm.SIDE + 1], own[j]) for j in range(len(own)))
+        for h in s:
+            if h not in top:
+                want += np.log(max(counts[h] - s.count(h), lm.UNSEEN) / (held[h % lm.SHARED + 1] + 1 - s.count(h)))
+        assert got[i].n_tokens == len(s) and got[i].pll == pytest.approx(want, rel=2e-3, abs=1e-2)
+
+
+def test_partitions_and_order_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(lm, "GROUP_TOKENS", 700)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{int(x)}" for x in rng.integers(0, 400, rng.integers(0, 80))) for _ in range(60)] + ["one text many times"] * 50
+    made = []
+    for some, parts in ((texts, 1), (texts[::-1], 6)):
+        known, values = lm.train(spark.createDataFrame([(t,) for t in some], "text string").repartition(parts))
+        made.append((known.own, values))
+    assert made[0][0] == made[1][0] and made[0][1] == pytest.approx(made[1][1], abs=1e-5)
+
+
+def test_copies_are_dealt_evenly_and_none_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(lm, "GROUP_TOKENS", 50)
+    texts = ["a b c d"] * 77 + ["e f"] * 2 + ["g"] + ["", None]
+    known = known_words()
+    packed, _ = lm.groups(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4), known)
+    total, most = {}, 0
+    for r in packed.collect():
+        ids, sizes, weights = np.frombuffer(r.symbols, "<u2"), np.frombuffer(r.sizes, np.int64), np.frombuffer(r.weights, np.int64)
+        for part, w in zip(np.split(ids, np.cumsum(sizes)[:-1]), weights.tolist()):
+            total[tuple(part.tolist())] = total.get(tuple(part.tolist()), 0) + w
+            most = max(most, w)
+    assert sorted(total.values()) == [1, 2, 77] and most <= 77 // 7 + 1
+
+
+def test_a_text_does_not_vouch_for_its_own_words(spark):
+    texts = ["common words here and there"] * 20 + ["zqa zqb zqc zqd zqe zqf"] + ["yqa yqb yqc yqd yqe yqf"] * 2
+    rest = [f"w{i} w{i + 1}" for i in range(2500)]
+    df = spark.createDataFrame([(t,) for t in texts + rest * 2], "text string")
+    known, values = lm.train(df)
+    pll = {r.text: r.pll for r in lm.with_pseudo_likelihood(df, known, values, of_corpus=True).collect()}
+    assert pll["yqa yqb yqc yqd yqe yqf"] > pll["zqa zqb zqc zqd zqe zqf"] + 6 * np.log(20)
