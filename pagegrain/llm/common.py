@@ -53,7 +53,7 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def slices(batch: pa.RecordBatch, weigh: str | None) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, weigh: str | None, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of bounded rows and bytes; a single row may be larger."""
     n = batch.num_rows
     if weigh is None:
@@ -63,7 +63,7 @@ def slices(batch: pa.RecordBatch, weigh: str | None) -> Iterator[pa.RecordBatch]
     lengths = pc.binary_length(batch.column(weigh)).fill_null(0).to_pylist()
     start = held = 0
     for i, size in enumerate(lengths):
-        if i > start and (held + size > SLICE_BYTES or i - start >= SLICE_ROWS):
+        if i > start and (held + size > most or i - start >= SLICE_ROWS):
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += size

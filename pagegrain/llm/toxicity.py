@@ -48,6 +48,8 @@ EPOCHS = 60
 RATE = 0.2
 DECAY = 1e-4
 SCALE = 1 << 24
+#: Text bytes whose features a task holds at once.
+SLICE_BYTES = 1 << 20
 
 
 def _chunk_features(data: np.ndarray) -> np.ndarray:
@@ -142,7 +144,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     the bucket that is none, how many there are."""
     counts = np.zeros((2, (1 << BITS) + 1), np.int64)
     for batch in batches:
-        for part in slices(batch, "t"):
+        for part in slices(batch, "t", SLICE_BYTES):
             toxic, found = _sets(part)
             for row, some in enumerate((toxic, np.ones(len(toxic), bool))):
                 held = [x for x, t in zip(found, some) if t]
@@ -161,7 +163,7 @@ def _pack(kept: np.ndarray):
         place = np.full(1 << BITS, -1, np.int32)
         place[kept] = np.arange(len(kept))
         for batch in batches:
-            for part in slices(batch, "t"):
+            for part in slices(batch, "t", SLICE_BYTES):
                 toxic, found = _sets(part)
                 at = [p[p >= 0] for p in (place[x] for x in found)]
                 for kind in (False, True):
