@@ -156,6 +156,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[0, some]), pa.array(counts[1, some])], names=["bucket", "toxic", "texts"])
 
 
+def place_type(features: int) -> type:
+    return np.uint16 if features <= 1 << 16 else np.int32
+
+
 def _pack(kept: np.ndarray):
     """Arrow map from texts to rows of many texts' places among ``kept``."""
 
@@ -170,7 +174,8 @@ def _pack(kept: np.ndarray):
                     held = [x for x, t in zip(at, toxic) if t or not kind]
                     if held:
                         sizes = np.array([len(x) for x in held], np.int32)
-                        yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([np.concatenate(held).tobytes()]), pa.array([sizes.tobytes()])], names=["toxic", "places", "sizes"])
+                        places = np.concatenate(held).astype(place_type(len(kept)))
+                        yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([places.tobytes()]), pa.array([sizes.tobytes()])], names=["toxic", "places", "sizes"])
 
     return run
 
@@ -181,8 +186,9 @@ def _sum(w: np.ndarray, bias: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, len(w) + 2), np.int64)
         for batch in batches:
-            for toxic, places, sizes in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                totals[int(toxic)] += partial_sums(np.frombuffer(places, np.int32), np.frombuffer(sizes, np.int32), w, bias)
+            for toxic, places, sizes in zip(*(batch.column(i) for i in range(3))):
+                at = np.frombuffer(places.as_buffer(), place_type(len(w)))
+                totals[int(toxic.as_py())] += partial_sums(at, np.frombuffer(sizes.as_buffer(), np.int32), w, bias)
         for kind in np.flatnonzero(totals.any(axis=1)).tolist():
             names = pa.array(np.arange(len(w) + 2, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([pa.array([bool(kind)] * len(names)), names, pa.array(totals[kind])], names=["toxic", "place", "total"])
