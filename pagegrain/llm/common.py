@@ -77,12 +77,14 @@ def map_columns(
     outputs: Sequence[tuple[str, DataType, pa.DataType]],
     make: Callable[[], Callable[..., Sequence[Sequence]]],
     weigh: str | None = None,
+    most: int = SLICE_BYTES,
 ) -> DataFrame:
     """Adds columns made by Python code from Arrow batches, all others kept.
 
     ``make`` runs once per task and returns the function that turns the input
     columns (Arrow arrays) of a slice into one sequence per output column. An
-    input column with the name of an output column is replaced.
+    input column with the name of an output column is replaced. A slice holds at
+    most ``most`` bytes of the column ``weigh``, or a single row.
     """
     names = {n.lower() for n, _, _ in outputs}
     kept = [f for f in df.schema.fields if f.name.lower() not in names]
@@ -96,7 +98,7 @@ def map_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in slices(batch, weigh_at):
+            for part in slices(batch, weigh_at, most):
                 made = work(*[part.column(n_kept + i) for i in range(len(inner))])
                 arrays = [part.column(i) for i in range(n_kept)]
                 arrays += [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(made, arrow)]

@@ -50,19 +50,55 @@ DECAY = 1e-4
 SCALE = 1 << 24
 #: Text bytes whose features a task holds at once.
 SLICE_BYTES = 1 << 20
+#: Buckets held before repeats are dropped.
+MOST_HELD = 1 << 20
+
+
+def _buckets(found: Words) -> np.ndarray:
+    """Buckets of the words' beginnings and of the words, a row for each kind."""
+    hashes = [found.hashes(np.minimum(found.start + k, found.end), k) for k in BEGINNINGS]
+    return (np.stack([*hashes, found.hashes()]) >> np.uint64(64 - BITS)).astype(np.int32)
+
+
+def _distinct(keys: list[np.ndarray]) -> np.ndarray:
+    found = np.concatenate([*keys, np.empty(0, np.int32)])
+    found.sort()
+    return found[np.concatenate((np.ones(min(1, len(found)), bool), found[1:] != found[:-1]))]
+
+
+def features_of(texts: list[str | None], place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) of the distinct buckets of whole texts, ordered by both;
+    with ``place``, (text, place) of the buckets whose place isn't negative."""
+    data = [(t or "").lower().encode() for t in texts]
+    begins = np.cumsum([0, *[len(t) + 1 for t in data]])
+    rows = np.arange(len(texts), dtype=np.int32 if len(texts) <= 1 << 31 - BITS else np.int64) << BITS
+    keys, held, at = [], 0, 0
+    for part in chunks(b" ".join(data)):
+        found = Words(part)
+        row = np.repeat(rows, np.diff(np.searchsorted(found.start + at, begins)))
+        at += len(part)
+        buckets = _buckets(found)
+        if place is not None:
+            buckets = place[buckets]
+        keys.append((row | buckets)[buckets >= 0] if place is not None else (row | buckets).ravel())
+        held += len(keys[-1])
+        if held > MOST_HELD:
+            # a single long text: its distinct buckets are few
+            keys, held = [_distinct(keys)], 0
+    found = _distinct(keys)
+    return found >> BITS, found & ((1 << BITS) - 1)
 
 
-def _chunk_features(data: np.ndarray) -> np.ndarray:
-    """Buckets of the words in lower-case bytes, and of their beginnings."""
-    found = Words(data)
-    hashes = [found.hashes(np.minimum(found.start + k, found.end), k) for k in BEGINNINGS] + [found.hashes()]
-    return (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int32)
+def features(text: str | None) -> np.ndarray:
+    """The distinct buckets of a whole text."""
+    return features_of([text])[1]
 
 
-def features(text: str | None) -> np.ndarray:
-    """Buckets of a whole text, with repeats."""
-    parts = [_chunk_features(x) for x in chunks((text or "").lower().encode())]
-    return np.concatenate(parts) if parts else np.empty(0, np.int32)
+def places(kept: np.ndarray) -> np.ndarray:
+    """For each bucket its place among ``kept``, or -1."""
+    place = np.full(1 << BITS, -1, np.int32)
+    place[kept] = np.arange(len(kept))
+    return place
 
 
 @dataclass(frozen=True)
@@ -71,16 +107,12 @@ class Model:
     buckets: np.ndarray
     weights: np.ndarray
 
-    def table(self) -> np.ndarray:
-        dense = np.zeros(1 << BITS)
-        dense[self.buckets] = self.weights
-        return dense
 
-
-def score(text: str | None, table: np.ndarray, bias: float) -> float:
-    found = features(text)
-    found = np.unique(found[table[found] != 0])
-    return float(1 / (1 + np.exp(-np.clip(table[found].sum() + bias, -500, 500))))
+def scores(texts: list[str | None], model: Model, place: np.ndarray) -> np.ndarray:
+    """The texts' probabilities of toxic; ``place``: of the model's buckets."""
+    row, at = features_of(texts, place)
+    z = np.bincount(row, model.weights[at], len(texts)) + model.bias
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def least_prior(among: np.ndarray, everywhere: np.ndarray, n: int, m: int) -> float:
@@ -101,11 +133,14 @@ def partial_sums(at: np.ndarray, sizes: np.ndarray, w: np.ndarray, bias: float)
     """Sums over texts, in whole numbers: of the probability of toxic by
     feature, of it, and of the loss as not toxic. ``at``: the features of all
     texts in turn, ``sizes``: how many each has."""
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    z = np.clip(np.bincount(row, w[at], len(sizes)) + bias, -500, 500)
+    held = np.flatnonzero(sizes)
+    z = np.full(len(sizes), bias)
+    if len(held):
+        z[held] += np.add.reduceat(w[at], (np.cumsum(sizes) - sizes)[held])
+    z = np.clip(z, -500, 500)
     probable = np.rint(SCALE / (1 + np.exp(-z)))
     loss = np.rint(SCALE * np.logaddexp(0, z))
-    return np.concatenate((np.bincount(at, probable[row], len(w)), [probable.sum(), loss.sum()])).astype(np.int64)
+    return np.concatenate((np.bincount(at, np.repeat(probable, sizes), len(w)), [probable.sum(), loss.sum()])).astype(np.int64)
 
 
 def fit(sums, among: np.ndarray, n: int, m: int, prior: float) -> tuple[float, np.ndarray]:
@@ -133,23 +168,22 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % FOLDS == 0, F.lit(True))
 
 
-def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(whether toxic, distinct buckets) of a slice's texts."""
-    found = [np.unique(features(x)) for x in batch.column(1).to_pylist()]
-    return batch.column(0).to_numpy(zero_copy_only=False), found
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[str | None]]]:
+    """(whether toxic, texts) of slices."""
+    for batch in batches:
+        for part in slices(batch, "t", SLICE_BYTES):
+            yield part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_pylist()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, toxic, texts): how many toxic texts and texts in all hold it; of
     the bucket that is none, how many there are."""
     counts = np.zeros((2, (1 << BITS) + 1), np.int64)
-    for batch in batches:
-        for part in slices(batch, "t", SLICE_BYTES):
-            toxic, found = _sets(part)
-            for row, some in enumerate((toxic, np.ones(len(toxic), bool))):
-                held = [x for x, t in zip(found, some) if t]
-                counts[row, : 1 << BITS] += np.bincount(np.concatenate([*held, np.empty(0, np.int32)]), minlength=1 << BITS)
-                counts[row, -1] += len(held)
+    for toxic, texts in _told(batches):
+        row, at = features_of(texts)
+        for kind, held in enumerate((at[toxic[row]], at)):
+            counts[kind, :-1] += np.bincount(held, minlength=1 << BITS)
+        counts[:, -1] += toxic.sum(), len(texts)
     at = np.flatnonzero(counts[1])
     for i in range(0, len(at), 10_000):
         some = at[i : i + 10_000]
@@ -164,18 +198,13 @@ def _pack(kept: np.ndarray):
     """Arrow map from texts to rows of many texts' places among ``kept``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.full(1 << BITS, -1, np.int32)
-        place[kept] = np.arange(len(kept))
-        for batch in batches:
-            for part in slices(batch, "t", SLICE_BYTES):
-                toxic, found = _sets(part)
-                at = [p[p >= 0] for p in (place[x] for x in found)]
-                for kind in (False, True):
-                    held = [x for x, t in zip(at, toxic) if t or not kind]
-                    if held:
-                        sizes = np.array([len(x) for x in held], np.int32)
-                        places = np.concatenate(held).astype(place_type(len(kept)))
-                        yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([places.tobytes()]), pa.array([sizes.tobytes()])], names=["toxic", "places", "sizes"])
+        place = places(kept)
+        for toxic, texts in _told(batches):
+            row, at = features_of(texts, place)
+            sizes, at = np.bincount(row, minlength=len(texts)).astype(np.int32), at.astype(place_type(len(kept)))
+            for kind, some, size in ((False, at, sizes), (True, at[toxic[row]], sizes[toxic])):
+                if len(size):
+                    yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([some.tobytes()]), pa.array([size.tobytes()])], names=["toxic", "places", "sizes"])
 
     return run
 
@@ -232,11 +261,11 @@ def with_toxicity(df: DataFrame, model: Model, text: str = "text", out: str = "t
     column of that name is replaced."""
 
     def make():
-        table, bias = model.table(), model.bias
+        place = places(model.buckets)
 
         def work(texts: pa.Array):
-            return [[score(x, table, bias) for x in texts.to_pylist()]]
+            return [scores(texts.to_pylist(), model, place)]
 
         return work
 
-    return map_columns(df, [text], [(out, DoubleType(), pa.float64())], make, weigh=text)
+    return map_columns(df, [text], [(out, DoubleType(), pa.float64())], make, weigh=text, most=SLICE_BYTES)
