@@ -393,9 +393,11 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
     spark = df.sparkSession
     row = F.struct(*[F.col(quoted(c)) for c in df.columns])
     digest = F.unhex(F.md5(F.coalesce(F.col(quoted(text)), F.lit(""))))
-    told = df.select(row.alias("row"), F.col(quoted(key)).alias("k"), digest.alias("d"))
-    bare = df.select(F.col(quoted(key)).alias("k"), digest.alias("d"), F.col(quoted(text)).alias("text"))
-    pairs, pairs_at = written(with_fingerprint(bare, of=word_fingerprint).groupBy("k", "d").agg(F.first("simhash").alias("print"), F.count(F.lit(1)).alias("n")), "simhash-texts")
+    # never null, and structs with equal nulls are equal
+    own = F.struct(F.col(quoted(key)).alias("k"), digest.alias("d")).alias("own")
+    told = df.select(own, row.alias("row"))
+    bare = df.select(own, F.col(quoted(text)).alias("text"))
+    pairs, pairs_at = written(with_fingerprint(bare, of=word_fingerprint).groupBy("own").agg(F.first("simhash").alias("print"), F.count(F.lit(1)).alias("n")).select("own.*", "print", "n"), "simhash-texts")
     # the smallest key of each text, null only if there is no other
     classes, classes_at = written(
         pairs.groupBy("d").agg(F.first("print").alias("print"), F.min("k").alias("least")).withColumn("name", F.monotonically_increasing_id()), "simhash-classes"
@@ -405,8 +407,10 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
     family = prints.join(linked.withColumnRenamed("print", "p"), F.col("print") == F.col("p"), "left").where("texts > 1 OR component IS NOT NULL")
     family = family.select(F.col("print").alias("p"), F.coalesce("component", "print").alias("family"))
     members, members_at = written(classes.join(family, F.col("print") == F.col("p")).select("d", "least", "name", "print", "family"), "simhash-members")
-    at = members.select(F.col("d").alias("md"), F.col("least").alias("mk"), "name", "print", "family")
-    some = bare.join(at, F.col("k").eqNullSafe(F.col("mk")) & (F.col("d") == F.col("md"))).select("family", "name", "print", "text")
+    # members and what is told apart grow with the corpus: they are joined to the texts by
+    # shuffle at every size, never broadcast
+    at = members.select(F.struct(F.col("least").alias("k"), "d").alias("other"), "name", "print", "family").hint("merge")
+    some = bare.join(at, F.col("own") == F.col("other")).select("family", "name", "print", "text")
     shingles, shingles_at = written(_with_shingles(some, width).select("family", "name", "print", "shingles").dropDuplicates(["name"]), "simhash-shingles")
     edges, edges_at = written(similar_edges(shingles, most, least), "simhash-edges")
     groups, groups_at = connected_components(edges)
@@ -415,12 +419,14 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
     grouped = members.join(groups, F.col("name") == F.col("node")).groupBy("component").agg(F.min(rank).alias("first"))
     chosen = members.join(groups, F.col("name") == F.col("node")).join(grouped, "component").select(F.col("d").alias("gd"), F.col("first.d").alias("stays"))
     stays = F.col("gd").isNull() | (F.col("stays") == F.col("d"))
-    known = pairs.join(classes.select(F.col("d").alias("cd"), "least"), F.col("d") == F.col("cd")).join(chosen, F.col("d") == F.col("gd"), "left")
-    kept = stays & F.col("k").eqNullSafe(F.col("least"))
-    told_apart, _ = written(known.select(F.col("k").alias("tk"), F.col("d").alias("td"), kept.alias("kept"), "n").where("NOT kept OR n > 1"), "simhash-dropped")
+    by_text = classes.join(chosen, F.col("d") == F.col("gd"), "left").select(F.col("d").alias("cd"), "least", stays.alias("stays"))
+    kept = F.col("stays") & F.col("k").eqNullSafe(F.col("least"))
+    known = pairs.join(by_text, F.col("d") == F.col("cd")).select(F.struct("k", "d").alias("other"), kept.alias("kept"), "n")
+    told_apart, _ = written(known.where("NOT kept OR n > 1"), "simhash-dropped")
     for path in (pairs_at, classes_at, linked_at, members_at, shingles_at, edges_at, groups_at):
         remove(spark, path)
-    same = F.col("k").eqNullSafe(F.col("tk")) & (F.col("d") == F.col("td"))
-    alone = told.join(told_apart.select("tk", "td"), same, "left_anti").select("row.*")
-    repeated = told.join(told_apart.where("kept").select("tk", "td"), same, "left_semi").dropDuplicates(["k", "d"]).select("row.*")
+    # the rows are dealt once for both joins
+    same = F.col("own") == F.col("other")
+    alone = told.join(told_apart.select("other").hint("merge"), same, "left_anti").select("row.*")
+    repeated = told.join(told_apart.where("kept").select("other").hint("merge"), same, "left_semi").dropDuplicates(["own"]).select("row.*")
     return alone.unionByName(repeated)
