@@ -28,6 +28,8 @@ from pagegrain.llm.common import map_columns
 LEAF_CHARS = 1024
 LEAF_IDS = 8192
 FIRST_WINDOW = 32
+#: Bytes of texts or ids that a task works on at once.
+SLICE_BYTES = 1 << 20
 
 
 @lru_cache(maxsize=4)
@@ -123,7 +125,7 @@ def encode_texts(df: DataFrame, vocab_path: str, pattern: str, text: str = "text
 
         return work
 
-    return map_columns(df, [text], [(out, BinaryType(), pa.binary())], make, weigh=text)
+    return map_columns(df, [text], [(out, BinaryType(), pa.binary())], make, weigh=text, most=SLICE_BYTES)
 
 
 def decode_ids(df: DataFrame, vocab_path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -137,4 +139,4 @@ def decode_ids(df: DataFrame, vocab_path: str, pattern: str, ids: str = "token_i
 
         return work
 
-    return map_columns(df, [ids], [(out, BinaryType(), pa.binary())], make, weigh=ids)
+    return map_columns(df, [ids], [(out, BinaryType(), pa.binary())], make, weigh=ids, most=SLICE_BYTES)

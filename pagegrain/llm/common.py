@@ -53,7 +53,7 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def slices(batch: pa.RecordBatch, weigh: str | None, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, weigh: str | int | None, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of bounded rows and bytes; a single row may be larger."""
     n = batch.num_rows
     if weigh is None:
@@ -84,22 +84,27 @@ def map_columns(
     ``make`` runs once per task and returns the function that turns the input
     columns (Arrow arrays) of a slice into one sequence per output column. An
     input column with the name of an output column is replaced. A slice holds at
-    most ``most`` bytes of the column ``weigh``, or a single row.
+    most ``most`` bytes of the column ``weigh``, or a single row. Each column is
+    sent to Python once: a batch lies in the executor and in its worker alike.
     """
     names = {n.lower() for n, _, _ in outputs}
     kept = [f for f in df.schema.fields if f.name.lower() not in names]
-    inner = [f"_in{i}" for i in range(len(inputs))]
-    wide = df.select(*[F.col(_q(f.name)) for f in kept], *[F.col(_q(c)).alias(a) for c, a in zip(inputs, inner)])
+    sent = [f.name for f in kept]
+    sent += [c for c in dict.fromkeys(inputs) if c not in sent]
+    n_kept = len(kept)
+    # mapInArrow looks its columns up unquoted, so none keeps a name with dots
+    wide = df.select(*[F.col(_q(c)).alias(f"_{i}") for i, c in enumerate(sent)])
     schema = StructType([*kept, *[StructField(n, t) for n, t, _ in outputs]])
-    weigh_at = inner[list(inputs).index(weigh)] if weigh else None
-    n_kept, arrow = len(kept), [t for _, _, t in outputs]
+    taken = [sent.index(c) for c in inputs]
+    weigh_at = sent.index(weigh) if weigh else None
+    arrow = [t for _, _, t in outputs]
     titles = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             for part in slices(batch, weigh_at, most):
-                made = work(*[part.column(n_kept + i) for i in range(len(inner))])
+                made = work(*[part.column(i) for i in taken])
                 arrays = [part.column(i) for i in range(n_kept)]
                 arrays += [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(made, arrow)]
                 yield pa.RecordBatch.from_arrays(arrays, names=titles)
